@@ -3,11 +3,12 @@
 The neighbour graph of a bounded sample is cut into balanced parts, and a
 small classifier learns to tell from a vector in which part its neighbours
 are.  Every vector is indexed in its most probable part, queries look into
-their `probes` most probable parts, and what is found there is ranked by exact
-inner products of the original vectors.
+their most probable parts, and what is found there is ranked by exact inner
+products of the original vectors.  How many parts are probed is measured on
+vectors held out of the fit: as few as find TARGET_RECALL of their neighbours.
 
 The sample, its graph and the classifier live on the driver and are bounded by
-`sample` rows; the index holds every vector.  Parts are cut into chunks of at
+1.25 `sample` rows; the index holds every vector.  Parts are cut into chunks of at
 most about CHUNK vectors, and a part's queries into blocks, so that a part
 with a third of all vectors is searched by many tasks.
 
@@ -20,7 +21,7 @@ id; with fewer candidates all are given; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 SAMPLE = 8192
-PARTS = 16
-PROBES = 6
+PARTS = 32
+#: Recall that the number of probed parts is chosen for, on vectors held out of the fit.
+TARGET_RECALL = 0.96
 CHUNK = 8192
 QUERIES_PER_BLOCK = 2048
 K = 20
@@ -46,6 +48,7 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     norm: float
+    probes: int = 1
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Scores of the parts for each vector, in the order of their probability."""
@@ -147,17 +150,30 @@ def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def fit_router(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, neighbours: int = 16, hidden: int = 128, epochs: int = 12, seed: int = 11) -> Router | None:
     """Fits on the `sample` vectors of the smallest hashes; None without vectors."""
-    # the bound of what comes to the driver: `sample` vectors
-    rows = vectors.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).collect()
+    # the bound of what comes to the driver: `sample` vectors, and a quarter as many that are held out
+    rows = vectors.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample + sample // 4).collect()
     if not rows:
         return None
-    x, rng = np.array([r["v"] for r in rows]), np.random.default_rng(seed)
-    top = np.abs(x).max()
-    x = x / top if top > 1e100 else x
+    every, rng = np.array([r["v"] for r in rows]), np.random.default_rng(seed)
+    top = np.abs(every).max()
+    every = every / top if top > 1e100 else every
+    held = every[len(every) * 4 // 5 :]
+    x = every[: max(1, len(every) * 4 // 5)]
     parts = max(1, min(parts, len(x) // 32))
     graph = neighbour_graph(x, neighbours)
     part = balanced_parts(x, graph, parts, 10, 0.1, rng)
-    return train_router(x, part, graph, parts, hidden, epochs, rng)
+    return calibrated(train_router(x, part, graph, parts, hidden, epochs, rng), held, x)
+
+
+def calibrated(router: Router, held: np.ndarray, x: np.ndarray, k: int = K, target: float = TARGET_RECALL) -> Router:
+    """`router` with as few probes as find `target` of the k nearest in `x` of the vectors `held`."""
+    parts = len(router.b2)
+    if not len(held) or len(x) <= k:
+        return replace(router, probes=parts)
+    index, ranks = router.top(x, 1)[:, 0], np.argsort(router.top(held, parts), axis=1)
+    near = np.argpartition(-(held @ x.T), k - 1, axis=1)[:, :k]
+    needed = np.sort(np.take_along_axis(ranks, index[near], axis=1).ravel())
+    return replace(router, probes=int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -178,8 +194,11 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, router: Router | None, probes: int = PROBES, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found; `vectors` and `queries` are (vec_id, v) rows."""
+def nearest(vectors: DataFrame, queries: DataFrame, router: Router | None, probes: int | None = None, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest found; `vectors` and `queries` are (vec_id, v) rows.
+
+    probes: parts that each query looks into; by default what the router was calibrated to.
+    """
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
     if router is None:
@@ -197,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, router: Router | None, probe
         return run
 
     index = scratch.keep(vectors.mapInArrow(route(1), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.col("parts")[0].alias("part")))
-    asked = queries.mapInArrow(route(probes), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
+    asked = queries.mapInArrow(route(probes or router.probes), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
     asked = scratch.keep(asked)
 
     def blocks(df: DataFrame, size: int) -> DataFrame:  # one row for each part
