@@ -9,6 +9,7 @@ made and used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,13 +54,17 @@ class Scratch:
         self._n = 0
         atexit.register(self._remove, self.root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """`df` as a table of its own; with `free`, shuffle files that only earlier steps needed are let go."""
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
+        if free:  # Spark removes a shuffle's files when its plan is garbage
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -76,6 +81,15 @@ class Scratch:
                 raise
 
 
+#: Rows of a table that is broadcast at most, once they have been counted.
+SMALL_ROWS = 400_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A broadcast hint for a kept table of few narrow rows, by their number; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices of about `limit` bytes of one string or binary column, one row at least."""
     for batch in batches:

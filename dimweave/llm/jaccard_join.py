@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, shingle_sets, table, text_blocks, text_bytes
+from .common import Scratch, mix, shingle_sets, small_side, table, text_blocks, text_bytes
 from .components import connected_components
 
 WORDS = 5
@@ -299,10 +299,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     salts = left.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("salts"))
     spread = left.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).select("hub", "salt", "cls")
     hubs = spread.select("hub", "salt").distinct().withColumn("cls", F.col("hub"))
-    rows = spread.unionByName(hubs).join(sets.select("cls", "elements"), "cls")
+    asked = scratch.keep(spread.unionByName(hubs))
+    rows = sets.select("cls", "elements").join(small_side(asked), "cls")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls") != F.col("hub"))
-    out = scratch.keep(rows.select("hub", "cls", "elements").mapInArrow(_star_pass, "u long, v long"))
-    scratch.drop(left)
+    out = scratch.keep(rows.select("hub", "cls", "elements").mapInArrow(_star_pass, "u long, v long"), free=True)
+    scratch.drop(left, asked)
     return out
 
 
@@ -327,16 +328,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     routed = texts.select("text").mapInArrow(prefixes, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
     place = Window.partitionBy("key")
     meet = routed.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls")
-    meet = scratch.keep(meet.distinct())
+    meet = scratch.keep(meet.distinct(), free=True)
 
     # whole sets and bitmaps of the classes that meet others, from one document of each
     known = scratch.keep(meet.groupBy("cls").agg(F.count("*").alias("known")))
     chosen = rows.where("id is not null").groupBy("cls").agg(F.min("id").alias("id"))
     nameless = rows.groupBy("cls").agg(F.max("id").alias("id")).where("id is null").select("cls")
-    source = known.select("cls").join(chosen, "cls").join(texts, "id").select("cls", "text")
+    picked = scratch.keep(known.select("cls").join(chosen, "cls"))
+    source = texts.join(small_side(picked), "id").select("cls", "text")
     if nameless.join(known.select("cls"), "cls").limit(1).count():  # classes of rows without ids are found by their sets
         source = source.unionByName(nameless.join(known.select("cls"), "cls").join(_classed(texts.where("id is null")), "cls").select("cls", "text"))
-    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, sig binary, elements binary").dropDuplicates(["cls"]))
+    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, sig binary, elements binary"), free=True)
 
     edges, comps = None, known.select("cls", F.col("cls").alias("comp"))
     held = meet.join(known, "cls")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, table, text_blocks, text_bytes
+from .common import Scratch, mix, small_side, table, text_blocks, text_bytes
 from .components import connected_components
 
 #: Characters of a shingle, the least similarity of duplicates, bands and rows of a signature.
@@ -168,15 +168,15 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long"))
     bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
     place = Window.partitionBy("band")
-    meet = bands.distinct().withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("band", "cls")
-    meet = scratch.keep(meet)
+    meet = bands.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("band", "cls").distinct()
+    meet = scratch.keep(meet, free=True)
     nodes = scratch.keep(meet.select("cls").distinct())
 
     # the lines of classes that meet others, each from its first document
-    first = lines.join(nodes, "cls").groupBy("cls").agg(F.min(F.struct("row", "line_no")).alias("at"))
-    asked = first.groupBy("at.row").agg(F.collect_list("at.line_no").alias("numbers"))  # lines of one document at most
-    once = docs.select("row", "text").join(asked, "row").dropDuplicates(["row"]).select("numbers", "text")
-    texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]))
+    first = lines.join(small_side(nodes), "cls").groupBy("cls").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    asked = scratch.keep(first.groupBy("at.row").agg(F.collect_list("at.line_no").alias("numbers")))  # lines of one document at most
+    once = docs.select("row", "text").join(small_side(asked), "row").select("numbers", "text")
+    texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]), free=True)
 
     edges, held, tried = None, meet, None
     while True:
@@ -208,8 +208,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     at = F.struct(F.col("id").isNull(), "id", "row", "line_no")
     firsts = solid.groupBy("comp").agg(F.min(at).alias("first"))
     gone = solid.join(firsts, "comp").where(~F.col("first").eqNullSafe(F.struct(F.col("id").isNull(), "id", "row", "line_no")))
-    cut = gone.groupBy("row").agg(F.collect_set("line_no").alias("gone"))  # lines of one document at most
-    out = named.join(cut.withColumnRenamed("row", "row_"), "row_", "left")
+    cut = scratch.keep(gone.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line_no").alias("gone")), free=True)  # lines of one document at most
+    out = named.join(small_side(cut), "row_", "left")
     parts = F.split(F.col(text), "\n")
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.filter(parts, lambda x, i: ~F.array_contains(numbers, i))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix, table, text_blocks, text_bytes
+from .common import Scratch, Words, mix, small_side, table, text_blocks, text_bytes
 
 MIN_WORDS = 50
 RUN = 36
@@ -195,7 +195,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # only runs that occur again can match; the first occurrence of each is known here
     place, me = Window.partitionBy("run"), F.struct("id", "row", "at")
     again = kept.withColumns({"low": F.min(me).over(place), "high": F.max(me).over(place)}).where("low <> high")
-    shared = scratch.keep(again.select(*_ORDER, (me != F.col("low")).alias("late"), F.col("low.id").alias("first_id")).distinct())
+    shared = scratch.keep(again.select(*_ORDER, (me != F.col("low")).alias("late"), F.col("low.id").alias("first_id")).distinct(), free=True)
     ordered = shared.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
     near = scratch.keep(ordered.mapInArrow(_neighbour_pass, _PAIR))
     # the last suffix of a part and the first of the next: two rows a part
@@ -208,11 +208,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = pairs.select(*(F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in _SUFFIX))
     grouped = pairs.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("at_a", "at_b", "late_a", "late_b", "first_id_a")).alias("pairs"))  # positions of two texts at most
     needed = scratch.keep(grouped)
-    rows = needed.select(F.col("row_a").alias("row")).unionByName(needed.select(F.col("row_b").alias("row"))).distinct()
-    used = scratch.keep(texts.join(rows, "row").dropDuplicates(["row"]))
+    rows = scratch.keep(needed.select(F.col("row_a").alias("row")).unionByName(needed.select(F.col("row_b").alias("row"))).distinct())
+    used = scratch.keep(texts.join(small_side(rows), "row"), free=True)
     both = needed.join(used.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a").join(used.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
     matches = both.select("row_a", "row_b", "pairs", "text_a", "text_b").mapInArrow(_extend_pass(min_words), "row long, n_words long, start_byte long, end_byte long, late long, first_id long")
-    matches = scratch.keep(matches.distinct())
+    matches = scratch.keep(matches.distinct(), free=True)
 
     # overlapping matches of one text and kind become one stretch
     by = Window.partitionBy("row", "late").orderBy("start_byte", "end_byte")
@@ -221,7 +221,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spans = opened.groupBy("row", "late", "stretch").agg(F.min("start_byte").alias("a"), F.max("end_byte").alias("b"), F.max("n_words").alias("n_words"), F.min("first_id").alias("first_id"))
     # bytes to characters, on the text itself
     cut = lambda n: F.char_length(F.decode(F.substring(F.encode("text", "UTF-8"), F.lit(1), n.cast("int")), "UTF-8")).cast("long")
-    return spans.join(used, "row").select(F.col("id").alias(key), cut(F.col("a")).alias("start"), cut(F.col("b")).alias("end"), "n_words", "first_id", (F.col("late") == 0).alias("is_first"))
+    return spans.join(used, "row").select(F.col("id").alias(key), cut(F.col("a")).alias("start"), cut(F.col("b")).alias("end"), "n_words", "first_id", (F.col("late") == 0).alias("is_first")).distinct()
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
