@@ -4,9 +4,10 @@ Lines of all documents are compared as sets of character shingles.  Equal
 lines are one class first.  Each class's signature (one hash of every shingle,
 dealt to SLOTS slots that keep their smallest) is cut to bands; classes with
 an equal band meet.  Where they meet, each is paired with the place's first
-class and with its neighbour, pairs are verified by exact Jaccard similarity
-on whole lines, and places whose classes stay apart are paired again without
-their first class, until nothing is left to compare.  Distributed union-find
+class and with its neighbour, and pairs are verified by exact Jaccard
+similarity on whole lines.  Places whose classes stay apart are paired again
+without their first class, STARS times in all; what is left is compared
+exactly, place by place.  Distributed union-find
 joins what is verified, and of each component the first line, by document
 and line number, is kept.
 
@@ -38,11 +39,9 @@ SIMILAR = 0.75
 BANDS = 20
 ROWS = 4
 SLOTS = BANDS * ROWS
+STARS = 2
 #: Multiplier of the polynomial hash of shingles.
 _B = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
 
 
 def _canonical(lines: list[bytes]) -> list[bytes]:
@@ -91,7 +90,8 @@ def _bands(lines: list[bytes]) -> np.ndarray:
     sig = signatures(lines)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        out = mix(out * _B + sig[:, r::ROWS])
+        # slots far apart: neighbouring empty slots take the same hash
+        out = mix(out * _B + sig[:, r * BANDS : (r + 1) * BANDS])
     return out + np.arange(BANDS, dtype=np.uint64)
 
 
@@ -179,23 +179,61 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]), free=True)
 
     edges, held, tried = None, meet, None
-    while True:
+    for _ in range(STARS):
         order = Window.partitionBy("band").orderBy("cls")
         hub = held.withColumn("u", F.min("cls").over(place)).where("cls > u").select("u", F.col("cls").alias("v"))
         near = held.withColumn("u", F.lag("cls").over(order)).where("u is not null").select("u", F.col("cls").alias("v"))
         pairs = hub.unionByName(near).distinct()
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         lined = pairs.join(texts.select(F.col("cls").alias("u"), F.col("line").alias("line_u")), "u").join(texts.select(F.col("cls").alias("v"), F.col("line").alias("line_v")), "v")
-        links = scratch.keep(lined.mapInArrow(_verify_pass, "u long, v long"))
+        links = scratch.keep(lined.mapInArrow(_verify_pass, "u long, v long"), free=True)
         edges = links if edges is None else edges.unionByName(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.keep(connected_components(edges, scratch))
-        labels = nodes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-        state = held.join(labels, "cls").withColumns({"hub": F.min("cls").over(place), "low": F.min("comp").over(place), "high": F.max("comp").over(place)})
-        # where classes are still apart, the first has met all others
-        held = scratch.keep(state.where("low < high and cls <> hub").select("band", "cls"))
-        if not held.groupBy("band").count().where("count > 1").limit(1).count():
-            return lines, found.withColumnRenamed("id", "cls")
+        held = _apart(held, nodes, scratch.keep(connected_components(edges, scratch)))
+        held = scratch.keep(held.where("cls <> hub").select("band", "cls", "comp"))  # the first has met all others
+    rest = held.join(texts, "cls").repartition("band").sortWithinPartitions("band", F.length("line"), "cls").select("band", "cls", "comp", "line")
+    edges = edges.unionByName(scratch.keep(rest.mapInArrow(_rest_pass, "u long, v long"), free=True))
+    return lines, scratch.keep(connected_components(edges, scratch)).withColumnRenamed("id", "cls")
+
+
+def _apart(held: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Of places where several components meet: their classes, with comp and hub, the place's first class."""
+    place = Window.partitionBy("band")
+    labels = nodes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
+    state = held.select("band", "cls").join(labels, "cls").withColumns({"hub": F.min("cls").over(place), "low": F.min("comp").over(place), "high": F.max("comp").over(place)})
+    return state.where("low < high")
+
+
+def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among what is left of each place, rows (band, cls, comp, line) sorted by band and length.
+
+    Lines are compared with those of other components that are long enough
+    to be similar; what links is one component from then on.
+    """
+    band, held, parent = None, [], {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        u, v = [], []
+        c = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "cls", "comp", "line")]
+        for b, cls, comp, line in zip(*c, strict=True):
+            if b != band:
+                band, held, parent = b, [], {}
+            grams = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+            for other, its_comp, its in held:
+                if root(comp) != root(its_comp) and min(len(its), len(grams)) >= SIMILAR * max(len(its), len(grams)):
+                    both = len(grams & its)
+                    if both >= SIMILAR * (len(grams) + len(its) - both):
+                        parent[root(comp)] = root(its_comp)
+                        u.append(cls)
+                        v.append(other)
+            held.append((cls, comp, grams))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
