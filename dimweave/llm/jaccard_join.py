@@ -122,7 +122,7 @@ def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
 
 
 def _fetch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, n, sig, elements): a text's bitmap of about a bit a shingle, and its whole set."""
+    """Rows (cls, n, sig, elements): a text's bitmap of some bits a shingle, and its whole set."""
     for batch in text_blocks(batches, "text"):
         sets = shingle_sets(text_bytes(batch.column(1)), WORDS)
         keep = [(int(c), s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True) if len(s) and _class_of(s) == c]
@@ -138,8 +138,8 @@ def _fetch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bitmap whose length is the power of two from n bits on, 64 at least; bit = top bits of the hash, so halves OR to shorter ones."""
-    bits = max(6, int(len(s) - 1).bit_length())
+    """A bitmap whose length is the power of two from 4 n bits on, 64 at least; bit = top bits of the hash, so neighbours OR to shorter ones."""
+    bits = max(6, int(4 * len(s) - 1).bit_length())
     out = np.zeros(1 << bits, np.uint8)
     out[(s >> np.uint64(64 - bits)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()

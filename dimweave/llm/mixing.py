@@ -70,19 +70,19 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default: float = 1.
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], default: float = 1.0, total: float | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """`docs` replicated to the target weights, in random order: all columns of `docs`, and copy_no from 1."""
-    rates = source_rates(docs, weights, default, total, source, text).select(F.col("source").alias("source_"), "parts", "cdf")
+    rates = source_rates(docs, weights, default, total, source, text).select(F.col("source").alias("source_"), F.col("parts").alias("parts_"), F.col("cdf").alias("cdf_"))
     few = rates.select("source_").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = F.broadcast(rates) if few else rates
     ident = F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
     # hashed below the join, so that each text is hashed once
     drawn = docs.withColumn("ident_", ident).join(rates, F.col(source).eqNullSafe(F.col("source_")), "left")
     at = lambda part: F.array(uniform(F.lit(str(seed)), part, F.col("ident_")))  # noqa: E731  an array binds the number once
-    below = lambda part: F.element_at(F.transform(at(part), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c < u))), 1)
+    below = lambda part: F.element_at(F.transform(at(part), lambda u: F.size(F.filter(F.col("cdf_"), lambda c: c < u))), 1)
     # one part in almost every case; the sum over more is the same draw
-    count = F.when(F.col("parts") == 1, below(F.lit("1"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + below(j.cast("string"))))
+    count = F.when(F.col("parts_") == 1, below(F.lit("1"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("parts_")), F.lit(0), lambda acc, j: acc + below(j.cast("string"))))
     out = drawn.withColumn("copies_", count).where("copies_ > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
     order = uniform(F.lit(str(seed)), F.lit("order"), F.col("ident_"), F.col("copy_no").cast("string"))
-    return out.withColumn("order_", order).orderBy("order_").drop("source_", "parts", "cdf", "copies_", "order_", "ident_")
+    return out.withColumn("order_", order).orderBy("order_").drop("source_", "parts_", "cdf_", "copies_", "order_", "ident_")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
