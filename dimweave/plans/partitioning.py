@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dimensions import build_dimension
+from ..operators.dimensions import align, build_dimension
 from ..operators.spec import Role, TargetSpec
 from ..operators.transforms import q
 
@@ -36,14 +36,16 @@ def merge_bucketed(old: DataFrame, new: DataFrame, target: TargetSpec, load_date
     """A big dimension and its increment, as one load would give.
 
     Both sides are tables bucketed alike by the business key.  A union of
-    bucketed scans loses their partitioning, so each side's rows are gathered
-    by key where they lie and met by a full outer join, which needs no
-    shuffle; a key's rows are then versioned in order.
+    bucketed scans, or a full outer join, loses their partitioning; so keys
+    that the dimension has take their new rows by a left join, new keys are
+    what an anti join leaves, and both keep their side's buckets: no shuffle.
     """
     keys = list(target.named(Role.LOOKUP))
     cols = [f.name for f in target.fields]
-    rows = lambda df, name: df.select(*map(q, cols)).groupBy(*map(q, keys)).agg(F.collect_list(F.struct(*(q(c) for c in cols if c not in keys))).alias(name))
-    met = rows(old, "old_").join(rows(new, "new_"), keys, "full")
-    every = met.select(*map(q, keys), F.explode(F.concat(F.coalesce("old_", F.array()), F.coalesce("new_", F.array()))).alias("row_"))
-    flat = every.select(*(q(c) if c in keys else F.col("row_").getField(c).alias(c) for c in cols))
-    return build_dimension(flat, target, load_date)
+    rest = [c for c in cols if c not in keys]
+    by_key = lambda df, name: df.select(*map(q, cols)).groupBy(*map(q, keys)).agg(F.collect_list(F.struct(*map(q, rest))).alias(name))
+    met = by_key(align(old, target), "old_").join(by_key(align(new, target), "new_"), keys, "left")
+    every = met.select(*map(q, keys), F.explode(F.concat("old_", F.coalesce("new_", F.slice("old_", 1, 0)))).alias("row_"))
+    known = every.select(*(q(c) if c in keys else F.col("row_").getField(c).alias(c) for c in cols))
+    fresh = new.select(*map(q, cols)).join(old.select(*map(q, keys)), keys, "left_anti")
+    return build_dimension(known, target, load_date).unionByName(build_dimension(fresh.select(*map(q, cols)), target, load_date))
