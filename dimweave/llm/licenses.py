@@ -113,34 +113,50 @@ _COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|<y
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a whole unit: words in lower case, single spaces, no copyright lines, one spelling."""
-    out = F.regexp_replace(ascii_lower(text), _COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, _PUNCTUATION, " ")), F.lit(" "))
+def _words_of(line: Column) -> Column:
+    """A line in lower case with single blanks for what is no letter or digit; a copyright line becomes nothing."""
+    return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(line), _COPYRIGHT_LINE, " "), _PUNCTUATION, " "))
+
+
+def _spelled(words: Column) -> Column:
+    out = F.concat(F.lit(" "), words, F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(out)
 
 
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a whole unit: words in lower case, single blanks, no copyright lines, one spelling."""
+    return _spelled(_whole(F.transform(F.split(text, "\n"), _words_of)))
+
+
 def known_digests(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
-    """(license_id, digest) of known licence texts, by the same canonical form."""
-    rows = spark.createDataFrame(list(licenses), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    """(license_id, digest, n_chars) of known licence texts, by the same canonical form; n_chars is the form's length."""
+    rows = spark.createDataFrame(list(licenses), "license_id string, text string").withColumn("form", canonical(F.col("text")))
+    return rows.select("license_id", F.sha2("form", 256).alias("digest"), F.char_length("form").alias("n_chars")).distinct()
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame, key: str = "doc_id", text: str = "text", lines: bool = True, size: int | None = None) -> DataFrame:
     """(key, unit, line_no, digest, license_id) for each unit whose canonical text is a known licence.
 
     unit: 'text' (line_no 0) or, with `lines`, 'line' (line_no from 1).
-    `licenses` are (license_id, digest) rows; they are broadcast while `size`,
-    their number if known, is at most BROADCAST_LICENSES.
+    `licenses` are (license_id, digest, n_chars) rows; they are broadcast while
+    `size`, their number if known, is at most BROADCAST_LICENSES.  Units that
+    are longer than every known form, whatever their spelling, are not hashed.
     """
-    whole = docs.select(F.col(key).alias("key_"), F.lit(0).alias("line_no"), F.col(text).alias("body"))
-    units = whole
-    if lines:
-        units = whole.unionByName(docs.select(F.col(key).alias("key_"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "body")).withColumn("line_no", F.col("line_no") + 1))
-    known = F.broadcast(licenses) if size is not None and size <= BROADCAST_LICENSES else licenses
-    digested = units.withColumn("body", canonical(F.col("body"))).where("body <> ''").select("key_", "line_no", F.sha2("body", 256).alias("digest"))
+    longest = licenses.agg(F.max("n_chars")).first()[0] or 0
+    # one spelling for another changes a form's length by less than this factor
+    stretch = max(max(len(a), len(b)) / min(len(a), len(b)) for a, b in SPELLINGS)
+    worded = docs.select(F.col(key).alias("key_"), F.transform(F.split(F.col(text), "\n"), _words_of).alias("lines_"))
+    units = F.concat(F.array(_whole(F.col("lines_"))), F.col("lines_")) if lines else F.array(_whole(F.col("lines_")))
+    each = worded.select("key_", F.posexplode(units).alias("line_no", "body")).where((F.col("body") != "") & (F.char_length("body") <= F.lit(int(longest * stretch) + 1)))
+    digested = each.select("key_", "line_no", F.sha2(_spelled(F.col("body")), 256).alias("digest"))
+    known = licenses.select("license_id", "digest")
+    known = F.broadcast(known) if size is not None and size <= BROADCAST_LICENSES else known
     return digested.join(known, "digest").select(F.col("key_").alias(key), F.when(F.col("line_no") == 0, "text").otherwise("line").alias("unit"), "line_no", "digest", "license_id")
 
 
