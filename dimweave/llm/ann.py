@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bounded_sample, table
 
 SAMPLE = 8192
 PARTS = 32
@@ -151,7 +151,8 @@ def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def fit_router(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, neighbours: int = 16, hidden: int = 128, epochs: int = 12, seed: int = 11) -> Router | None:
     """Fits on the `sample` vectors of the smallest hashes; None without vectors."""
     # the bound of what comes to the driver: `sample` vectors, and a quarter as many that are held out
-    rows = vectors.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample + sample // 4).collect()
+    hashed = vectors.select("v", F.xxhash64("vec_id", "v").alias("order"))
+    rows = bounded_sample(hashed, F.col("order"), sample + sample // 4, vectors.count()).select("v").collect()
     if not rows:
         return None
     every, rng = np.array([r["v"] for r in rows]), np.random.default_rng(seed)

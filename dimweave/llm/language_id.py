@@ -7,7 +7,7 @@ is rejected if that cosine is far below what labelled texts of its length
 reach.
 
 The classifier is fitted on the driver from at most `max_rows` labelled rows
-(the smallest hashes of id and text, an equal number for each language) and
+(the smallest hashes of texts, an equal number for each language) and
 at most `max_chars` characters of each.  Predictions use whole texts, and only
 their texts.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mix, table, text_blocks
+from .common import bounded_sample, mix, table, text_blocks
 
 #: Hashed n-gram dimensions.
 DIMS = 1 << 14
@@ -129,7 +129,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit_language_id(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 4000, max_chars: int = 4000, per_language: int = 4, strictness: float = 0.5, seed: int = 7
+    labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, max_chars: int = 4000, per_language: int = 4, strictness: float = 0.5, seed: int = 7
 ) -> Model:
     """Fits centroids and thresholds on at most `max_rows` labelled rows.
 
@@ -138,14 +138,14 @@ def fit_language_id(
     class, reach.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.substring(text, 1, max_chars).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("order"))
-    n_langs = rows.select("lang").distinct().count()
-    if not n_langs:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    if not counts:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS)), np.zeros(0, np.int64))
-    share = max(1, max_rows // n_langs)
+    share = max(1, max_rows // len(counts))
     # a sample whose size is bounded by max_rows: the smallest hashes of each language
     picked: list[tuple[str, str]] = []
-    for (name,) in sorted(rows.select("lang").distinct().collect()):
-        picked += [(r["lang"], r["text"]) for r in rows.where(F.col("lang") == name).orderBy("order", "text").limit(share).collect()]
+    for name, n in sorted(counts.items()):
+        picked += [(name, t) for (t,) in sorted(map(tuple, bounded_sample(rows.where(F.col("lang") == name), F.col("order"), share, n).select("text").collect()))]
     langs = sorted({x for x, _ in picked})
     rng = np.random.default_rng(seed)
     grams, letters = _gram_counts([t for _, t in picked])
