@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from .common import Scratch, table, text_blocks
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of text between blanks whose ids a worker remembers; older ones are forgotten together.
-REMEMBERED = 400_000
+#: Pieces of text between blanks whose ids a worker remembers: at most about as many, the last used ones.
+REMEMBERED = 800_000
 
 
 def default_tokenizer() -> str:
@@ -53,13 +54,36 @@ class BlankSplitEncoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _encoder(path), {}
+        self.tokenizer, self.known, self.older = _encoder(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a byte-level blank
+
+    @classmethod
+    def shared(cls, path: str) -> "BlankSplitEncoder":
+        """This process's encoder of `path`, kept beside the tokenizers' module, as workers outlive their tasks."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_blank_split_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _tokenized(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
+        """Pieces of one blank, before the rest, are tokenized as one text, as a token with a blank at its head opens each."""
+        joint = [p for p in pieces if p.rfind(" ") == 0 and len(p) > 1]
+        alone = pieces
+        if joint:
+            flat = self._tokenized(["".join(joint)])[0]
+            begin = np.flatnonzero(self.opens[flat])
+            if len(begin) == len(joint) and begin[0] == 0:
+                whole, cuts = flat.tobytes(), [*(begin * 4).tolist(), len(flat) * 4]
+                self.known.update(zip(joint, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+                alone = [p for p in pieces if p not in self.known]
+        self.known.update(zip(alone, [x.tobytes() for x in self._tokenized(alone)], strict=True))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -67,9 +91,6 @@ class BlankSplitEncoder:
         if len(parts) == 1:
             return parts
         out, joined = [], parts[0]
-        plain = text.replace("\n", " ")
-        if plain.isprintable() and "  " not in plain and plain[0] != " " and plain[-1] != " ":  # white space is single blanks and line ends
-            return [joined, *[" " + p for p in parts[1:]]]
         for part in parts[1:]:
             if part and joined and not part[0].isspace() and not joined[-1].isspace():
                 out.append(joined)
@@ -79,25 +100,49 @@ class BlankSplitEncoder:
         out.append(joined)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.pieces(t) for t in texts]
-        new = {p for ps in split for p in ps if p not in self.known}
-        for block in _blocks(list(new), REMEMBERED // 4):
-            self._learn(block)
-        known, out = self.known, []
-        for ps in split:
-            try:
-                out.append(b"".join([known[p] for p in ps]))
-            except KeyError:  # forgotten between
-                self._learn([p for p in dict.fromkeys(ps) if p not in known][: REMEMBERED // 2])
-                out.append(b"".join([known[p] if p in known else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in ps]))
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian ids of pieces; what isn't remembered is tokenized."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
+        known.update({p: older[p] for p in new if p in older})
+        self._learn([p for p in new if p not in known])
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and `end` after each."""
+        out: list[bytes] = [end] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and _is_plain(t)]
+        for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain], end), strict=True):
+            out[i] = ids
+        rest = sorted({i for i, t in enumerate(texts) if t}.difference(plain))
+        for i in rest:
+            out[i] = b"".join(self._ids_of(self.pieces(texts[i]))) + end
         return out
 
-
-def _blocks(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
+    def _encode_plain(self, texts: list[str], end: bytes) -> list[bytes]:
+        """`encode` of texts whose every blank opens a piece: Arrow tells pieces apart and gathers their ids."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = np.asarray(lists.offsets)[:-1]
+        coded = lists.values.dictionary_encode()
+        at = np.array(coded.indices)
+        # opening pieces have no blank before them
+        opening = coded.dictionary.take(pa.array(at[first])).to_pylist()
+        at[first] = np.arange(len(coded.dictionary), len(coded.dictionary) + len(first))
+        ids = self._ids_of([" " + p for p in coded.dictionary.to_pylist()] + opening)
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))  # its buffer is all texts' ids, one after the other
+        begin, whole = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1], taken.buffers()[2].to_pybytes()
+        cuts = begin[[*first, len(at)]].tolist()
+        return [whole[a:b] + end for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _is_plain(text: str) -> bool:
+    """Whether all white space is single blanks, between solid characters, and line ends."""
+    flat = text.replace("\n", " ")
+    return flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
 
 
 def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", separator: int | None = SEPARATOR) -> DataFrame:
@@ -107,9 +152,9 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", separator: int
     schema = StructType([*docs.drop(text).schema.fields, *StructType.fromDDL("part int, place long, doc_tokens long, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = BlankSplitEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in text_blocks(batches, text, 1 << 20):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column(names.index(text)).to_pylist()])]
+        encoder, part, place = BlankSplitEncoder.shared(tokenizer), TaskContext.get().partitionId(), 0
+        for batch in text_blocks(batches, text):
+            ids = encoder.encode([t or "" for t in batch.column(names.index(text)).to_pylist()], end)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
