@@ -29,7 +29,7 @@ from .common import Scratch, table, text_blocks
 WINDOW = 2048
 SEPARATOR = 1
 #: Pieces of text between blanks whose ids a worker remembers: at most about as many, the last used ones.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 
 
 def default_tokenizer() -> str:
