@@ -278,3 +278,17 @@ def test_urls(spark, url, host, path, rule, verdict):
     df = spark.createDataFrame([(1, url, "h"), (1, url, "h")], "page_id long, url string, host string")
     out = [tuple(r)[1:5] for r in url_filters.filter_urls(df).collect()]
     assert out == [(host, path, rule, verdict)] * 2
+
+
+def test_ids_of_pieces_equal_those_of_whole_texts():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from dimweave.llm.packing import BlankSplitEncoder, default_tokenizer
+
+    texts = ["", "a", "\n", " a", " ", "a b", "a\nb c", "x  y", "  b c", "a <|endoftext|> b", "é ü\n日本 語", "tab\tb c", "a b ", "1 2 3's don't", "a\r\nb c", "a b c"]
+    whole = Tokenizer.from_file(default_tokenizer())
+    expected = [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    encoder = BlankSplitEncoder(default_tokenizer())
+    assert encoder.encode(texts, np.array([1], "<u4").tobytes()) == expected
+    assert encoder.encode(texts[::-1], np.array([1], "<u4").tobytes()) == expected[::-1]
