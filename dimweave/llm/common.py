@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
@@ -101,6 +101,34 @@ def bounded_sample(rows: DataFrame, order: Column, size: int, count: int) -> Dat
     return near.orderBy(F.pmod(order, F.lit(1 << 30)), order).limit(size)
 
 
+def merge_places(meet: DataFrame, place: str) -> DataFrame:
+    """Distinct rows (place, cls), with places of the same members made one.
+
+    A place's new name is a hash of its members; should two names be equal by
+    chance, their members meet in one place, which loses no pair.
+    """
+    here = Window.partitionBy(place)
+    members = (F.bit_xor("h1"), F.bit_xor("h2"), F.min("cls"), F.max("cls"), F.count("cls"))
+    hashed = meet.select(place, "cls", F.xxhash64("cls").alias("h1"), F.xxhash64("cls", F.lit(1)).alias("h2"))
+    named = hashed.select("cls", *(m.over(here).alias(f"m{i}") for i, m in enumerate(members)))
+    return named.select(F.xxhash64(*(f"m{i}" for i in range(len(members)))).alias(place), "cls").distinct()
+
+
+def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int) -> DataFrame:
+    """`rows` for tasks of bounded size: each place is cut to blocks of `size` rows in some order.
+
+    Adds block, and low and high: a row goes to every pair of blocks that its
+    own is in, so that any two rows of a place share a (place, low, high), once
+    if their blocks differ or as low = high otherwise.  A place of up to `size`
+    rows is one block and isn't repeated.
+    """
+    here = Window.partitionBy(place)
+    cut = rows.withColumn("block", F.floor((F.row_number().over(here.orderBy(*order)) - 1) / size).cast("int"))
+    cut = cut.withColumn("last", F.max("block").over(here))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "last")
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices of about `limit` bytes of one string or binary column, one row at least."""
     for batch in batches:

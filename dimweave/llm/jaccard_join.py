@@ -7,15 +7,17 @@ Jaccard similarity is at least `PERCENT` / 100; the result is exact.
 2. Routing.  In any fixed order of all shingles, two linked sets share one
    among the first n - ceil(0.75 n) + 1 of each.  Shingles that many documents
    hold come last in the order (a heuristic that changes no result), so common
-   passages route nothing.  Classes meet where such a shingle is the same.
+   passages route nothing.  Classes meet where such a shingle is the same;
+   meeting places of the same classes are one.
 3. Star collapse.  Each meeting place's best known class is compared with
    the others there, and what links becomes one component; copies of one text,
    be they thousands, need one comparison each.  It is done STARS times.
 4. Signature trees.  The places that still hold several components are each
-   searched by a tree: leaves hold classes sorted by size, nodes the OR of
+   searched by trees: leaves hold classes sorted by size, nodes the OR of
    their shingle bitmaps and their size range.  A dual traversal goes down
    only where the largest possible overlap reaches the threshold and the two
-   sides aren't one component already.
+   sides aren't one component already.  A tree holds TREE classes at most;
+   larger places are pairs of trees, each pair a task's work of its own.
 5. Pairs that survive are verified on whole shingle sets, and linked classes
    are joined by distributed union-find.
 
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, shingle_sets, small_side, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, merge_places, mix, shingle_sets, small_side, table, text_blocks, text_bytes
 from .components import connected_components
 
 WORDS = 5
@@ -52,7 +54,9 @@ KEY_MASK = np.uint64((1 << 44) - 1)
 LEAF = 16
 FANOUT = 8
 #: Classes in one tree; a larger meeting place is searched as pairs of trees.
-TREE = 4096
+TREE = 1024
+#: Bits of a bitmap for each shingle, before rounding up to a power of two.
+BITS = 8
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -94,15 +98,18 @@ def _sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
-    """Rows (cls, keys): the routing keys of each text."""
+    """Rows (cls, keys): the routing keys of each text, equal sets of a task once."""
     shingles, level = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in text_blocks(batches, "text"):
             classes, sizes, keys = [], [], []
             for s in shingle_sets(text_bytes(batch.column(0)), WORDS):
-                if not len(s):
+                cls = _class_of(s)
+                if not len(s) or cls in seen:
                     continue
+                seen.add(cls)
                 n = len(s)
                 p = n - (PERCENT * n + 99) // 100 + 1
                 if len(shingles):
@@ -111,7 +118,7 @@ def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
                     first = s[np.argsort(rank, kind="stable")[:p]] if rank[:p].any() else s[:p]
                 else:
                     first = s[:p]
-                classes.append(_class_of(s))
+                classes.append(cls)
                 sizes.append(len(first))
                 keys.append((mix(first) & KEY_MASK).view(np.int64))
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -138,8 +145,8 @@ def _fetch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """A bitmap whose length is the power of two from 4 n bits on, 64 at least; bit = top bits of the hash, so neighbours OR to shorter ones."""
-    bits = max(6, int(4 * len(s) - 1).bit_length())
+    """A bitmap whose length is the power of two from BITS n bits on, 64 at least; bit = top bits of the hash, so neighbours OR to shorter ones."""
+    bits = max(6, int(BITS * len(s) - 1).bit_length())
     out = np.zeros(1 << bits, np.uint8)
     out[(s >> np.uint64(64 - bits)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -179,6 +186,14 @@ class SignatureTree:
         while len(level) > 1:
             level = [self._node(g[0][0], g[-1][1], folded, g) for g in (level[i : i + FANOUT] for i in range(0, len(level), FANOUT))]
         self.root = level[0]
+        self._rows: dict[int, np.ndarray] = {}
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """The bitmaps of a leaf's items, at the length of its shortest."""
+        if a not in self._rows:
+            width = min(len(x) for x in self.sigs[a:b])
+            self._rows[a] = np.stack([_fold(x, width) for x in self.sigs[a:b]])
+        return self._rows[a]
 
     def _node(self, a: int, b: int, folded: np.ndarray, children) -> tuple:
         sig = np.logical_or.reduce([c[4] for c in children]) if children else folded[a:b].any(axis=0)
@@ -217,40 +232,48 @@ def tree_pairs(s: SignatureTree, t: SignatureTree) -> Iterator[tuple[int, int]]:
             else:
                 stack += [(p, q) for p in xs for q in ys]
             continue
-        for i in range(x[0], x[1]):
-            for j in range(i + 1 if x is y else y[0], y[1]):
-                a, b = int(s.sizes[i]), int(t.sizes[j])
-                if s.comps[i] == t.comps[j] or s.ids[i] == t.ids[j] or 100 * min(a, b) < PERCENT * max(a, b):
-                    continue
-                if most_overlap(s.sigs[i], a, t.sigs[j], b) >= _need(a, b):
-                    yield int(s.ids[i]), int(t.ids[j])
+        for i, j in _leaf_pairs(s, x, t, y):
+            a, b = int(s.sizes[i]), int(t.sizes[j])
+            if most_overlap(s.sigs[i], a, t.sigs[j], b) >= _need(a, b):
+                yield int(s.ids[i]), int(t.ids[j])
+
+
+def _leaf_pairs(s: SignatureTree, x: tuple, t: SignatureTree, y: tuple) -> Iterator[tuple[int, int]]:
+    """Pairs of items of two leaves, of different components, that may link by sizes and the leaves' bitmaps."""
+    p, q = s.rows(x[0], x[1]), t.rows(y[0], y[1])
+    width = min(p.shape[1], q.shape[1])
+    p, q = (m.reshape(len(m), width, -1).any(axis=2).astype(np.float32) for m in (p, q))
+    both = (p @ q.T).astype(np.int64)  # of 0 and 1: exact below 2 ** 24 common bits
+    a, b = s.sizes[x[0] : x[1], None], t.sizes[None, y[0] : y[1]]
+    most = both + np.minimum(a - p.sum(axis=1, dtype=np.int64)[:, None], b - q.sum(axis=1, dtype=np.int64)[None, :])
+    may = (most >= _need(a, b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (s.comps[x[0] : x[1], None] != t.comps[None, y[0] : y[1]])
+    if s is t and x is y:
+        may = np.triu(may, 1)
+    yield from ((x[0] + int(i), y[0] + int(j)) for i, j in zip(*np.nonzero(may), strict=True))
 
 
 def _tree_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (u, v) of meeting places; rows (key, cls, comp, n, sig) come sorted by key.
+    """Candidate pairs (u, v); rows (key, low, high, block, cls, comp, n, sig) come sorted by the first three.
 
-    A place of more than TREE classes is cut to blocks of neighbouring sizes,
-    and every two blocks whose sizes allow links are searched.
+    Rows of one key, low and high are one block of a meeting place, searched
+    in itself, or two blocks, searched against each other.
     """
-    names = ["key", "cls", "comp", "n", "sig"]
-    held: list[tuple] = []
+    names = ["key", "low", "high", "block", "cls", "comp", "n", "sig"]
 
     def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: (r[3], r[1]))
         trees = []
-        for i in range(0, len(rows), TREE):
-            part = rows[i : i + TREE]
-            trees.append(SignatureTree(*(np.array([r[c] for r in part], np.int64) for c in (1, 2, 3)), [_bits(r[4]) for r in part]))
-        for i, s in enumerate(trees):
-            for t in trees[i:]:
-                found = list(tree_pairs(s, t))
-                if found:
-                    p = np.array(found, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], names=["u", "v"])
+        for block in sorted({r[3] for r in rows}):
+            part = [r for r in rows if r[3] == block]
+            trees.append(SignatureTree(*(np.array([r[c] for r in part], np.int64) for c in (4, 5, 6)), [_bits(r[7]) for r in part]))
+        found = list(tree_pairs(trees[0], trees[-1]))
+        if found:
+            p = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], names=["u", "v"])
 
+    held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-            if held and held[0][0] != row[0]:
+            if held and held[0][:3] != row[:3]:
                 yield from search(held)
                 held = []
             held.append(row)
@@ -328,7 +351,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     routed = texts.select("text").mapInArrow(prefixes, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
     place = Window.partitionBy("key")
     meet = routed.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls")
-    meet = scratch.keep(meet.distinct(), free=True)
+    meet = scratch.keep(merge_places(meet.distinct(), "key"), free=True)
 
     # whole sets and bitmaps of the classes that meet others, from one document of each
     known = scratch.keep(meet.groupBy("cls").agg(F.count("*").alias("known")))
@@ -354,7 +377,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     left = held.join(comps, "cls")
     left = left.withColumns({"low": F.min("comp").over(place), "high": F.max("comp").over(place)}).where("low < high").select("key", "cls", "comp")
-    tree = left.join(sets.select("cls", "n", "sig"), "cls").repartition("key").sortWithinPartitions("key").select("key", "cls", "comp", "n", "sig")
+    places = merge_places(left.select("key", "cls"), "key").join(comps, "cls").join(sets.select("cls", "n"), "cls")
+    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE).join(sets.select("cls", "sig"), "cls")
+    at = ["key", "low", "high"]
+    tree = blocks.repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "comp", "n", "sig")
     pairs = scratch.keep(tree.mapInArrow(_tree_pass, "u long, v long").distinct())
     edges = edges.unionByName(_verify(pairs.select(F.col("u").alias("hub"), F.col("v").alias("cls")), sets, scratch))
 
