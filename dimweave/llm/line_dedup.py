@@ -3,11 +3,11 @@
 Lines of all documents are compared as sets of character shingles.  Equal
 lines are one class first.  Each class's signature (one hash of every shingle,
 dealt to SLOTS slots that keep their smallest) is cut to bands; classes with
-an equal band meet.  Where they meet, each is paired with the place's first
+an equal band meet; places of the same classes are one.  Where they meet, each is paired with the place's first
 class and with its neighbour, and pairs are verified by exact Jaccard
 similarity on whole lines.  Places whose classes stay apart are paired again
 without their first class, STARS times in all; what is left is compared
-exactly, place by place.  Distributed union-find
+exactly, place by place, a larger place as pairs of its blocks.  Distributed union-find
 joins what is verified, and of each component the first line, by document
 and line number, is kept.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, small_side, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, merge_places, mix, small_side, table, text_blocks, text_bytes
 from .components import connected_components
 
 #: Characters of a shingle, the least similarity of duplicates, bands and rows of a signature.
@@ -40,6 +40,8 @@ BANDS = 20
 ROWS = 4
 SLOTS = BANDS * ROWS
 STARS = 2
+#: Classes of one place that a task compares in itself; a larger place is compared as pairs of blocks.
+BLOCK = 512
 #: Multiplier of the polynomial hash of shingles.
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,7 +171,7 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
     place = Window.partitionBy("band")
     meet = bands.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("band", "cls").distinct()
-    meet = scratch.keep(meet, free=True)
+    meet = scratch.keep(merge_places(meet, "band"), free=True)
     nodes = scratch.keep(meet.select("cls").distinct())
 
     # the lines of classes that meet others, each from its first document
@@ -191,7 +193,10 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
         tried = pairs if tried is None else tried.unionByName(pairs)
         held = _apart(held, nodes, scratch.keep(connected_components(edges, scratch)))
         held = scratch.keep(held.where("cls <> hub").select("band", "cls", "comp"))  # the first has met all others
-    rest = held.join(texts, "cls").repartition("band").sortWithinPartitions("band", F.length("line"), "cls").select("band", "cls", "comp", "line")
+    sized = texts.select("cls", F.length("line").alias("size"))
+    blocks = block_pairs(held.join(sized, "cls"), "band", [F.col("size"), F.col("cls")], BLOCK).join(texts, "cls")
+    at = ["band", "low", "high"]
+    rest = blocks.repartition(*at).sortWithinPartitions(*at, "size", "cls").select(*at, "block", "cls", "comp", "line")
     edges = edges.unionByName(scratch.keep(rest.mapInArrow(_rest_pass, "u long, v long"), free=True))
     return lines, scratch.keep(connected_components(edges, scratch)).withColumnRenamed("id", "cls")
 
@@ -205,12 +210,13 @@ def _apart(held: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among what is left of each place, rows (band, cls, comp, line) sorted by band and length.
+    """Links among what is left of each place, rows (band, low, high, block, cls, comp, line) sorted by the first three and length.
 
     Lines are compared with those of other components that are long enough
-    to be similar; what links is one component from then on.
+    to be similar, within a block or, if low and high differ, between the two;
+    what links is one component from then on.
     """
-    band, held, parent = None, [], {}
+    place, held, parent = None, [], {}
 
     def root(x: int) -> int:
         while parent.get(x, x) != x:
@@ -220,19 +226,19 @@ def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         u, v = [], []
-        c = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "cls", "comp", "line")]
-        for b, cls, comp, line in zip(*c, strict=True):
-            if b != band:
-                band, held, parent = b, [], {}
+        c = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "low", "high", "block", "cls", "comp", "line")]
+        for band, low, high, block, cls, comp, line in zip(*c, strict=True):
+            if (band, low, high) != place:
+                place, held, parent = (band, low, high), [], {}
             grams = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-            for other, its_comp, its in held:
-                if root(comp) != root(its_comp) and min(len(its), len(grams)) >= SIMILAR * max(len(its), len(grams)):
+            for its_block, other, its_comp, its in held:
+                if (low == high or block != its_block) and root(comp) != root(its_comp) and min(len(its), len(grams)) >= SIMILAR * max(len(its), len(grams)):
                     both = len(grams & its)
                     if both >= SIMILAR * (len(grams) + len(its) - both):
                         parent[root(comp)] = root(its_comp)
                         u.append(cls)
                         v.append(other)
-            held.append((cls, comp, grams))
+            held.append((block, cls, comp, grams))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
