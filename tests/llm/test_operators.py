@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimweave.llm import ann, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, packing, suffixes, url_filters
-from dimweave.llm.common import Scratch
+from dimweave.llm.common import Scratch, block_pairs, merge_places
 from dimweave.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, cls long, row string"
@@ -46,7 +46,9 @@ def corpus(seed=1):
     return out
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("tree", [jaccard_join.TREE, 2])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, tree):
+    monkeypatch.setattr(jaccard_join, "TREE", tree)
     texts = corpus()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs(spark, texts)).collect()}
     sets = []
@@ -79,6 +81,24 @@ def test_signature_trees_lose_no_link():
     assert links and links <= found and len(found) < len(ids) * (len(ids) - 1) // 4
 
 
+def test_block_pairs_meet_all_rows_of_a_place(spark):
+    rows = spark.createDataFrame([(k, c) for k, n in ((1, 7), (2, 3), (3, 1)) for c in range(n)], "key long, cls long")
+    groups = defaultdict(list)
+    for r in block_pairs(rows, "key", [F.col("cls")], 3).collect():
+        groups[r["key"], r["low"], r["high"]].append((r["block"], r["cls"]))
+    met = sorted((k, a, b) for (k, low, high), g in groups.items() for x, a in g for y, b in g if a < b and (low == high or x != y))
+    assert met == sorted((k, a, b) for k, n in ((1, 7), (2, 3), (3, 1)) for b in range(n) for a in range(b))
+    assert max(map(len, groups.values())) <= 6
+
+
+def test_merged_places_keep_all_meetings(spark):
+    places = [(1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (3, 7), (4, 5), (4, 6), (4, 7)]
+    got = defaultdict(set)
+    for r in merge_places(spark.createDataFrame(places, "key long, cls long"), "key").collect():
+        got[r["key"]].add(r["cls"])
+    assert sorted(map(sorted, got.values())) == [[5, 6], [5, 6, 7], [5, 7]]
+
+
 def test_components(spark):
     scratch = Scratch(spark)
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5)], "u long, v long")
@@ -87,7 +107,9 @@ def test_components(spark):
     assert connected_components(chain.limit(0), scratch).count() == 0
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 2])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     r = random.Random(4)
     lines = [" ".join(words(r, 12)) for _ in range(40)] + ["short", "tiny one"]
     texts = []
