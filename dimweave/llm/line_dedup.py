@@ -2,7 +2,8 @@
 
 Lines of all documents are compared as sets of character shingles.  Equal
 lines are one class first.  Each class's signature (one hash of every shingle,
-dealt to SLOTS slots that keep their smallest) is cut to bands; classes with
+dealt to SLOTS slots that keep their smallest; slots that stay empty copy others
+in random orders) is cut to bands; classes with
 an equal band meet; places of the same classes are one.  Where they meet, each is paired with the place's first
 class and with its neighbour, and pairs are verified by exact Jaccard
 similarity on whole lines.  Places whose classes stay apart are paired again
@@ -44,6 +45,9 @@ STARS = 2
 BLOCK = 512
 #: Multiplier of the polynomial hash of shingles.
 _B = np.uint64(0x9E3779B97F4A7C15)
+#: The slots that an empty slot looks at, one row a step: a random order for each, so that one shingle that
+#: differs spoils no more of a short line's signature than its share.
+_ORDERS = np.random.Generator(np.random.PCG64(20240301)).permuted(np.tile(np.arange(SLOTS)[:, None], SLOTS), axis=0)
 
 
 def _canonical(lines: list[bytes]) -> list[bytes]:
@@ -70,29 +74,28 @@ def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
-    """(len(lines), SLOTS) smallest hash of each slot; an empty slot takes the next full one's, marked by its distance."""
+    """(len(lines), SLOTS) smallest hash of each slot; an empty slot takes that of the first full one in its own order."""
     h, owner = _shingles(lines)
-    sig = np.full(len(lines) * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    none = np.iinfo(np.uint64).max
+    sig = np.full(len(lines) * SLOTS, none, np.uint64)
     np.minimum.at(sig, owner * SLOTS + ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64), h)
     sig = sig.reshape(len(lines), SLOTS)
-    empty = sig == np.iinfo(np.uint64).max
-    out, away = sig.copy(), np.zeros(sig.shape, np.uint64)
-    step = 0
-    while empty.any() and step < SLOTS:
-        step += 1
-        moved = np.roll(sig, -step, axis=1)
-        fill = empty & (moved != np.iinfo(np.uint64).max)
-        out[fill] = moved[fill]
-        away[fill] = step
-        empty &= ~fill
-    return mix(out + away)
+    out = sig.copy()
+    line, slot = np.nonzero(sig == none)
+    for order in _ORDERS:
+        if not len(line):
+            break
+        found = sig[line, order[slot]]
+        full = found != none
+        out[line[full], slot[full]] = found[full]
+        line, slot = line[~full], slot[~full]
+    return mix(out)
 
 
 def _bands(lines: list[bytes]) -> np.ndarray:
     sig = signatures(lines)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        # slots far apart: neighbouring empty slots take the same hash
         out = mix(out * _B + sig[:, r * BANDS : (r + 1) * BANDS])
     return out + np.arange(BANDS, dtype=np.uint64)
 

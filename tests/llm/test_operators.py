@@ -152,6 +152,17 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_short_similar_lines_share_a_band():
+    r = random.Random(10)
+    for size in (12, 14, 17, 20, 25, 30):
+        made = [bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz ", k=size)) for _ in range(1000)]
+        pairs = [(a, a + bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz ", k=1 + size // 14))) for a in made]
+        similar = [p for p in pairs if line_dedup.line_similarity(*p) >= line_dedup.SIMILAR]
+        assert len(similar) > 900
+        a, b = (line_dedup._bands(list(x)) for x in zip(*similar, strict=True))
+        assert (a == b).any(axis=1).mean() > 0.995
+
+
 def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
