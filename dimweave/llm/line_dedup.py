@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, block_pairs, merge_places, mix, small_side, table, text_blocks, text_bytes
 from .components import connected_components
 
-#: Characters of a shingle, the least similarity of duplicates, bands and rows of a signature.
-SHINGLE = 9
+#: Characters (code points) of a shingle, the least similarity of duplicates, bands and rows of a signature.
+#: One changed character leaves a line of L characters (L - 9) / (L + 1) alike, which links from L = 39 on.
+SHINGLE = 5
 SIMILAR = 0.75
 BANDS = 20
 ROWS = 4
@@ -55,10 +56,10 @@ def _canonical(lines: list[bytes]) -> list[bytes]:
 
 
 def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lines' shingles of SHINGLE bytes, and the line of each; a shorter line is padded with zeros."""
-    padded = [x if len(x) >= SHINGLE else x + bytes(SHINGLE - len(x)) for x in lines]
+    """Hashes of all lines' shingles of SHINGLE code points, and the line of each; a shorter line is padded with zeros."""
+    padded = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    arr = np.frombuffer(b"".join(padded), np.uint8)
+    arr = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     n = len(arr) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -66,13 +67,16 @@ def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(SHINGLE):
         h = h * _B + arr[j : j + n] + np.uint64(1)
     owner = np.repeat(np.arange(len(padded)), sizes)[:n]
-    inside = np.ones(n, bool)
-    ends = np.cumsum(sizes)
-    left = ends[owner] - np.arange(n)
+    left = np.cumsum(sizes)[owner] - np.arange(n)
     inside = left >= SHINGLE
     return mix(h[inside]), owner[inside]
 
 
+def _shingle_set(line: bytes) -> set[str]:
+    x = line.decode("utf-8", "replace")
+    return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
+
+
 def signatures(lines: list[bytes]) -> np.ndarray:
     """(len(lines), SLOTS) smallest hash of each slot; an empty slot takes that of the first full one in its own order."""
     h, owner = _shingles(lines)
@@ -102,8 +106,7 @@ def _bands(lines: list[bytes]) -> np.ndarray:
 
 def line_similarity(a: bytes, b: bytes) -> float:
     """Exact Jaccard similarity of two canonical lines' shingles."""
-    cut = lambda x: {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
-    s, t = cut(a), cut(b)
+    s, t = _shingle_set(a), _shingle_set(b)
     return len(s & t) / len(s | t)
 
 
@@ -233,7 +236,7 @@ def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for band, low, high, block, cls, comp, line in zip(*c, strict=True):
             if (band, low, high) != place:
                 place, held, parent = (band, low, high), [], {}
-            grams = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+            grams = _shingle_set(line)
             for its_block, other, its_comp, its in held:
                 if (low == high or block != its_block) and root(comp) != root(its_comp) and min(len(its), len(grams)) >= SIMILAR * max(len(its), len(grams)):
                     both = len(grams & its)

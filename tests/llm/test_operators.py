@@ -163,6 +163,16 @@ def test_short_similar_lines_share_a_band():
         assert (a == b).any(axis=1).mean() > 0.995
 
 
+def test_one_edit_in_a_line_of_usual_length_links_in_every_script(spark):
+    r = random.Random(11)
+    texts = []
+    for letters in ("abcdefghijklmnop", "абвгдежзийклмноп", "漢字仮名交文章日本語学校"):
+        line = "".join(r.choices(letters, k=44))
+        texts += [line, line[:22] + "z" + line[23:]]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(6)] == [texts[0], "", texts[2], "", texts[4], ""]
+
+
 def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
