@@ -30,9 +30,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the group's smallest id."""
-    groups = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest id, rows without an id last, then by the text's hash.
+
+    Rows are told apart by a number of their own, so of repeated rows one
+    stays, and rows that share an id stand for themselves.  Rows without
+    words are in no group, and all stay.
+    """
+    scratch = Scratch(spark)
+    numbered = scratch.keep(docs.withColumn("row_", F.monotonically_increasing_id()))
+    groups = jaccard_components(numbered, "row_").where("n_shingles > 0").select("row_", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("hash"), "row_")
+    named = scratch.keep(groups.join(numbered.select("row_", rank.alias("rank")), "row_"))
+    several = named.where("row_ <> component_id").select("component_id").distinct()
+    members = named.join(several, "component_id", "left_semi")
+    best = members.groupBy("component_id").agg(F.min("rank").alias("best"))
+    copies = members.join(best, "component_id").where("row_ <> best.row_").select("row_")
+    return numbered.join(copies, "row_", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
