@@ -4,9 +4,13 @@ Passages of at least `min_words` words that occur more than once, in whatever
 documents, are found.  Of every text, only suffixes at minimiser positions are
 retained: of each SPAN consecutive runs of RUN words, the run with the
 smallest hash.  As SPAN + RUN - 1 is at most `min_words`, two equal passages
-of that length retain the same run.  Retained suffixes are sorted by their
-content (the first run, then ever longer stretches), neighbours are compared,
-and matches are extended left and right, word by word, on the whole texts.
+of that length retain the same run.  Each window of MIN_WORDS words belongs to the
+run that it retains; the words of all windows of a retained run are its
+context.  Of equal runs, those of one context are sorted by their content (ever
+longer stretches) and neighbours are compared.  Where equal runs have several
+contexts, the first run of each is also compared with its neighbours in each
+window that recurs, so that no two holders of a window are missed.  Matches are
+extended left and right, word by word, on the whole texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; white space between
 them doesn't count.
@@ -32,7 +36,7 @@ from .common import Scratch, Words, mix, small_side, table, text_blocks, text_by
 MIN_WORDS = 50
 RUN = 36
 SPAN = MIN_WORDS - RUN + 1
-#: Words of the longer stretches by which suffixes of equal runs are sorted.
+#: Words of the longer stretches by which suffixes of equal contexts are sorted.
 STRETCHES = (64, 128)
 
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -51,10 +55,10 @@ def _stretch(prefix: np.ndarray, inverse: np.ndarray, at: np.ndarray, n: int) ->
     return mix((prefix[at + n] - prefix[at]) * inverse[at])
 
 
-def minimisers(hashes: np.ndarray, run: int = RUN, span: int = SPAN) -> np.ndarray:
-    """Positions of the runs that are the smallest (the rightmost of equals) of some `span` consecutive runs."""
+def minimisers(hashes: np.ndarray, run: int = RUN, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the runs that are the smallest (the rightmost of equals) of some `span` consecutive runs; the first and last start of those."""
     if len(hashes) < run:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     prefix, powers = _prefix(hashes)
     h = _stretch(prefix, powers, np.arange(len(hashes) - run + 1), run)
     if len(h) <= span:
@@ -63,51 +67,71 @@ def minimisers(hashes: np.ndarray, run: int = RUN, span: int = SPAN) -> np.ndarr
         windows = np.lib.stride_tricks.sliding_window_view(h, span)
     width = windows.shape[1]
     at = np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1)
-    return np.unique(at)
+    found, low, count = np.unique(at, return_index=True, return_counts=True)
+    return found, low, low + count - 1
 
 
 def _retain_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, s0, s1, id, row, at): hash of the run at each retained position and of the longer stretches from it."""
+    """Rows (run, ctx, s0, s1, id, row, at, lo, hi): hashes of the run at each retained position, of its context and of longer stretches; its windows start at lo..hi."""
     for batch in text_blocks(batches, "text", 1 << 20):
         words = Words(text_bytes(batch.column(2)))
-        out: list[list[np.ndarray]] = [[] for _ in range(4)]
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
         took, source = [], []
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
             if b - a < MIN_WORDS:
                 continue
             h = words.hashes[a:b]
-            at = minimisers(h)
+            at, lo, hi = minimisers(h)
             prefix, inverse = _prefix(h)
             out[0].append(_stretch(prefix, inverse, at, RUN))
+            out[1].append(mix(_stretch(prefix, inverse, lo, hi - lo + MIN_WORDS) + ((at - lo) * SPAN + hi - lo).astype(np.uint64)))
             for j, n in enumerate(STRETCHES):
                 fits = at + n <= len(h)
                 s = np.zeros(len(at), np.uint64)
                 s[fits] = _stretch(prefix, inverse, at[fits], n)
-                out[1 + j].append(s >> np.uint64(33))
-            out[3].append(at)
+                out[2 + j].append(s >> np.uint64(33))
+            for j, x in enumerate((at, lo, hi)):
+                out[4 + j].append(x)
             took.append(len(at))
             source.append(i)
-        col = [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, (np.uint64, np.uint64, np.uint64, np.int64), strict=True)]
+        col = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
         take = pa.array(np.repeat(np.array(source, np.int64), took))
+        ints = [pa.array(c.astype(np.int32)) for c in col[2:]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(col[0].view(np.int64)), *(pa.array(c.astype(np.int32)) for c in col[1:3]), batch.column(0).take(take), batch.column(1).take(take), pa.array(col[3].astype(np.int32))],
-            names=["run", "s0", "s1", "id", "row", "at"],
+            [*(pa.array(c.view(np.int64)) for c in col[:2]), *ints[:2], batch.column(0).take(take), batch.column(1).take(take), *ints[2:]],
+            names=["run", "ctx", "s0", "s1", "id", "row", "at", "lo", "hi"],
         )
 
 
+def _window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (win, ctx, many, id, row, at, start) of the windows of each text's listed runs, win their hash."""
+    for whole in batches:
+        for batch in text_blocks((whole,), "text", 1 << 20):
+            out: list[list] = [[] for _ in range(7)]
+            for me, row, runs, text in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3)), strict=True):
+                prefix, inverse = _prefix(Words([text]).hashes)
+                for r in runs:
+                    start = np.arange(r["lo"], r["hi"] + 1)
+                    win = _stretch(prefix, inverse, start, MIN_WORDS).view(np.int64)
+                    for x, v in zip(out, (win, *([c] * len(start) for c in (r["ctx"], r["many"], me, row, r["at"])), start), strict=True):
+                        x += v if isinstance(v, list) else v.tolist()
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["win", "ctx", "many", "id", "row", "at", "start"])
+
+
 _ORDER = ["run", "s0", "s1", "id", "row", "at"]
-_SUFFIX = ["row", "at", "late", "first_id"]
-_PAIR = "run long, edge int, part int, " + ", ".join(f"row_{x} long, at_{x} int, late_{x} boolean, first_id_{x} long" for x in "ab")
+_SUFFIX = ["row", "at", "first_id"]
+_PAIR = "run long, edge int, part int, " + ", ".join(f"row_{x} long, at_{x} int, first_id_{x} long" for x in "ab")
 
 
 def _neighbour_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring suffixes of equal runs, of rows sorted by _ORDER; and a part's first (edge 1) and last (edge 2) suffix."""
+    """Pairs of neighbouring suffixes of equal run (a context or a window), of rows sorted by _ORDER; and a part's first (edge 1) and last (edge 2) suffix."""
     from pyspark import TaskContext
 
     part, last = TaskContext.get().partitionId(), None
 
     def rows(run: list, a: list[list], b: list[list], edge: int) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64())
         n = len(run)
         head = [pa.array(run, pa.int64()), pa.array([edge] * n, pa.int32()), pa.array([part] * n, pa.int32())]
         return pa.RecordBatch.from_arrays([*head, *(pa.array(x, k) for x, k in zip([*a, *b], kinds * 2, strict=True))], names=["run", "edge", "part", *(f"{c}_{x}" for x in "ab" for c in _SUFFIX)])
@@ -130,30 +154,36 @@ def _neighbour_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _extend_pass(min_words: int):
-    """Maximal matches of two texts from pairs of positions; rows (row_a, row_b, pairs, text_a, text_b)."""
+    """Maximal matches of two texts from pairs of positions; rows (row_a, row_b, pairs, text_a, text_b, firsts_a, firsts_b).
+
+    A match is late in a text if it holds no window whose first occurrence is there; firsts are the ranges of such windows' starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "n_words", "start_byte", "end_byte", "late", "first_id"]
         for whole in batches:
             for batch in text_blocks((whole,), "text_a", 1 << 20):
                 out: list[list[int]] = [[] for _ in names]
-                c = {n: batch.column(batch.schema.get_field_index(n)) for n in ("row_a", "row_b", "pairs", "text_a", "text_b")}
-                for ra, rb, pairs, ta, tb in zip(c["row_a"].to_pylist(), c["row_b"].to_pylist(), c["pairs"].to_pylist(), text_bytes(c["text_a"]), text_bytes(c["text_b"]), strict=True):
+                c = {n: batch.column(batch.schema.get_field_index(n)) for n in ("row_a", "row_b", "pairs", "text_a", "text_b", "firsts_a", "firsts_b")}
+                lists = (c[n].to_pylist() for n in ("row_a", "row_b", "pairs", "firsts_a", "firsts_b"))
+                for ra, rb, pairs, fa, fb, ta, tb in zip(*lists, text_bytes(c["text_a"]), text_bytes(c["text_b"]), strict=True):
                     a, b = Words([ta]), Words([tb])
                     la, lb = ta.lower(), tb.lower()
-                    matches: dict[tuple[int, int], list] = {}  # by diagonal and start: end, whether all anchors are late (a, b), first id
+                    matches: dict[tuple[int, int], list] = {}  # by diagonal and start: end, first id
                     reach: dict[int, tuple[int, int]] = {}  # by diagonal: the last match
                     for p in sorted(pairs, key=lambda p: (p["at_a"], p["at_b"])):
                         d = p["at_a"] - p["at_b"]
                         s, e = reach.get(d, (0, -1))
                         if e < p["at_a"] + RUN:
                             s, e = reach[d] = _extend(a.hashes, b.hashes, p["at_a"], p["at_b"])
-                        m = matches.setdefault((d, s), [e, True, True, p["first_id_a"]])
-                        m[1:] = [m[1] and p["late_a"], m[2] and p["late_b"], min(m[3], p["first_id_a"])]
-                    for (d, s), (e, late_a, late_b, first) in matches.items():
+                        m = matches.setdefault((d, s), [e, p["first_id_a"]])
+                        m[1] = min(m[1], p["first_id_a"])
+                    fa, fb = (np.array([(x["lo"], x["hi"]) for x in f or ()], np.int64).reshape(-1, 2) for f in (fa, fb))
+                    for (d, s), (e, first) in matches.items():
                         if e - s < min_words or not _equal(a, b, la, lb, s, s - d, e - s):
                             continue
-                        for me, w, start, late in ((ra, a, s, late_a), (rb, b, s - d, late_b)):
+                        for me, w, start, firsts in ((ra, a, s, fa), (rb, b, s - d, fb)):
+                            late = not ((firsts[:, 0] <= start + e - s - MIN_WORDS) & (firsts[:, 1] >= start)).any()
                             for x, v in zip(out, (me, e - s, int(w.begin[start]), int(w.end[start + e - s - 1]), int(late), first), strict=True):
                                 x.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
@@ -182,8 +212,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     (key, start, end, n_words, first_id, is_first): characters start..end of
     the text, end exclusive; overlapping matches of one kind are one stretch.
     n_words is the longest match in it, first_id the smallest id that holds
-    a retained run of it.  is_first: the stretch has a run whose first
-    occurrence this is; cutting the stretches that have none leaves each
+    a window of MIN_WORDS words of the compared ones.  is_first: the stretch has a
+    match with a window whose first occurrence this is; cutting the stretches that have none leaves each
     passage once.
     """
     if min_words < RUN + SPAN - 1:
@@ -191,12 +221,27 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    kept = texts.mapInArrow(_retain_pass, "run long, s0 int, s1 int, id long, row long, at int")
-    # only runs that occur again can match; the first occurrence of each is known here
-    place, me = Window.partitionBy("run"), F.struct("id", "row", "at")
-    again = kept.withColumns({"low": F.min(me).over(place), "high": F.max(me).over(place)}).where("low <> high")
-    shared = scratch.keep(again.select(*_ORDER, (me != F.col("low")).alias("late"), F.col("low.id").alias("first_id")).distinct(), free=True)
-    ordered = shared.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    kept = texts.mapInArrow(_retain_pass, "run long, ctx long, s0 int, s1 int, id long, row long, at int, lo int, hi int")
+    # only runs that occur again can match; contexts of one occurrence need windows, if there are others
+    run, context, me = Window.partitionBy("run"), Window.partitionBy("run", "ctx"), F.struct("id", "row", "at")
+    again = kept.withColumns({"low": F.min(me).over(run), "high": F.max(me).over(run), "mixed": F.min("ctx").over(run) != F.max("ctx").over(run)}).where("low <> high")
+    again = again.withColumns({"low": F.min(me).over(context), "high": F.max(me).over(context)})
+    shared = again.select("ctx", "s0", "s1", "id", "row", "at", "lo", "hi", "mixed", (F.col("low") != F.col("high")).alias("many"), (me == F.col("low")).alias("head"), F.col("low.id").alias("first_id"))
+    shared = scratch.keep(shared.distinct(), free=True)
+    listed = scratch.keep(shared.where("mixed and head").groupBy("row").agg(F.collect_list(F.struct("ctx", "many", "at", "lo", "hi")).alias("runs")))  # of one text at most
+    windowed = texts.join(small_side(listed), "row").select("id", "row", "runs", "text")
+    wins = scratch.keep(windowed.mapInArrow(_window_pass, "win long, ctx long, many boolean, id long, row long, at int, start int"), free=True)
+    place = F.struct("id", "row", "at", "start")
+    found = wins.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("many").alias("many"))
+    found = scratch.keep(found.where("first <> last or many").select("win", "first", (F.col("first") != F.col("last")).alias("several")))
+    met = scratch.keep(wins.drop("many").join(found, "win").select("win", "ctx", "id", "row", "at", "several", F.col("first.id").alias("first_id")), free=True)
+    earliest = met.groupBy("ctx").agg(F.min("first_id").alias("earliest"))
+    same = shared.where("many").join(earliest, "ctx", "left").withColumn("first_id", F.coalesce("earliest", "first_id"))
+    zero = F.lit(0).cast("int")
+    members = same.select(F.col("ctx").alias("run"), *_ORDER[1:], "first_id").unionByName(met.where("several").select(F.col("win").alias("run"), zero.alias("s0"), zero.alias("s1"), "id", "row", "at", "first_id"))
+    ordered = scratch.keep(members, free=True).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    firsts = found.select("first.row", F.col("first.start").alias("lo"), F.col("first.start").alias("hi")).unionByName(shared.where("head and not mixed").select("row", "lo", "hi"))
+    firsts = firsts.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts"))  # of one text at most
     near = scratch.keep(ordered.mapInArrow(_neighbour_pass, _PAIR))
     # the last suffix of a part and the first of the next: two rows a part
     a_cols, b_cols = ([f"{c}_{x}" for c in _SUFFIX] for x in "ab")
@@ -205,13 +250,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = near.where("edge = 0").select(*a_cols, *b_cols).unionByName(across.select(*(F.col(f"prev.{c}").alias(c) for c in a_cols), *b_cols))
     # the two texts in a fixed order, so that each pair of texts is extended once
     swap = F.col("row_a") > F.col("row_b")
+    pairs = pairs.where("row_a <> row_b or at_a <> at_b")
     pairs = pairs.select(*(F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in _SUFFIX))
-    grouped = pairs.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("at_a", "at_b", "late_a", "late_b", "first_id_a")).alias("pairs"))  # positions of two texts at most
+    grouped = pairs.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("at_a", "at_b", "first_id_a")).alias("pairs"))  # positions of two texts at most
     needed = scratch.keep(grouped)
     rows = scratch.keep(needed.select(F.col("row_a").alias("row")).unionByName(needed.select(F.col("row_b").alias("row"))).distinct())
-    used = scratch.keep(texts.join(small_side(rows), "row"), free=True)
-    both = needed.join(used.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a").join(used.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
-    matches = both.select("row_a", "row_b", "pairs", "text_a", "text_b").mapInArrow(_extend_pass(min_words), "row long, n_words long, start_byte long, end_byte long, late long, first_id long")
+    held = scratch.keep(rows.join(firsts, "row", "left"))
+    used = scratch.keep(texts.join(small_side(held), "row"), free=True)
+    side = lambda x: used.select(*(F.col(c).alias(f"{c}_{x}") for c in ("row", "text", "firsts")))
+    both = needed.join(side("a"), "row_a").join(side("b"), "row_b")
+    matches = both.select("row_a", "row_b", "pairs", "text_a", "text_b", "firsts_a", "firsts_b").mapInArrow(_extend_pass(min_words), "row long, n_words long, start_byte long, end_byte long, late long, first_id long")
     matches = scratch.keep(matches.distinct(), free=True)
 
     # overlapping matches of one text and kind become one stretch

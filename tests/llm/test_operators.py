@@ -261,6 +261,22 @@ def test_repeated_passages(spark):
     assert suffixes.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_around_a_common_notice(spark):
+    r = random.Random(13)
+    notice = words(r, 40)
+    texts = [" ".join([*words(r, 60), *notice, *words(r, 60)]) for _ in range(120)]
+    pairs = {}
+    for k in range(12):
+        left = words(r, 12)
+        for i in (20 + 8 * k, 21 + 8 * k):  # the very first of the notice's 40 words are no passage
+            texts[i] = " ".join([*words(r, 60), *left, *notice, *words(r, 60)])
+            pairs[i] = (k, " ".join([*left, *notice]))
+    got = {}
+    for x in suffixes.repeated_passages(docs(spark, texts)).collect():
+        got.setdefault(x["doc_id"], []).append((texts[x["doc_id"]][x["start"] : x["end"]], x["first_id"], x["is_first"]))
+    assert got == {i: [(passage, 20 + 8 * k, i == 20 + 8 * k)] for i, (k, passage) in pairs.items()}
+
+
 def test_nearest(spark):
     r = np.random.default_rng(8)
     x = np.concatenate([c + 0.3 * r.normal(size=(150, 16)) for c in r.normal(size=(12, 16))])
