@@ -66,7 +66,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Language centroids, tokens and MinHash cannot be stated in SQL; tests/llm compares stages with brute force.
+#: Language centroids, tokens and MinHash cannot be stated in SQL; tests/llm compares some operators with brute force.
 ORACLE_SQL = None
 
 
