@@ -262,7 +262,7 @@ def test_repeated_passages(spark):
 
 
 def test_passages_around_a_common_notice(spark):
-    r = random.Random(13)
+    r = random.Random(40)
     notice = words(r, 40)
     texts = [" ".join([*words(r, 60), *notice, *words(r, 60)]) for _ in range(120)]
     pairs = {}
