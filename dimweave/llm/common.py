@@ -9,7 +9,7 @@ made and used.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
 TEXT_BLOCK = 4 << 20
+#: Bytes of a kept table's files, up to which it is broadcast.
+SMALL_BYTES = 4 << 20
+#: Spark's setting by which a query's shuffle files are removed when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: list[str] = []
 
@@ -31,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only if unset."""
+    """The folder in spark.checkpoint.dir; only where that is unset, on a single machine, a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(f"file://{tempfile.mkdtemp(prefix='dimweave-')}")
     return _own_dir[0]
@@ -50,23 +56,32 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/dimweave-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self._n = 0
         atexit.register(self._remove, self.root)
 
-    def keep(self, df: DataFrame, free: bool = False) -> DataFrame:
-        """`df` as a table of its own; with `free`, shuffle files that only earlier steps needed are let go."""
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df` as a table of its own.  The shuffle files that writing it made go at once, as nothing else reads them."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
-        if free:  # Spark removes a shuffle's files when its plan is garbage
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         return out
 
+    def bytes_of(self, df: DataFrame) -> int:
+        """Bytes of a kept table's files."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A broadcast hint for a kept table whose files have at most SMALL_BYTES; beyond that the join shuffles."""
+        return F.broadcast(df) if self.bytes_of(df) <= SMALL_BYTES else df
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             self._remove(df._scratch_path)
@@ -81,15 +96,6 @@ class Scratch:
                 raise
 
 
-#: Rows of a table that is broadcast at most, once they have been counted.
-SMALL_ROWS = 400_000
-
-
-def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint for a kept table of few narrow rows, by their number; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def bounded_sample(rows: DataFrame, order: Column, size: int, count: int) -> DataFrame:
     """At most `size` of `rows`, which are `count`: those of the smallest hashes `order`.
 
@@ -114,8 +120,8 @@ def merge_places(meet: DataFrame, place: str) -> DataFrame:
     return named.select(F.xxhash64(*(f"m{i}" for i in range(len(members)))).alias(place), "cls").distinct()
 
 
-def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int) -> DataFrame:
-    """`rows` for tasks of bounded size: each place is cut to blocks of `size` rows in some order.
+def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int, weight: Column | None = None) -> DataFrame:
+    """`rows` for tasks of bounded size: each place is cut to blocks of `size` rows, or a total `weight` of about that, in some order.
 
     Adds block, and low and high: a row goes to every pair of blocks that its
     own is in, so that any two rows of a place share a (place, low, high), once
@@ -123,7 +129,10 @@ def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int) ->
     rows is one block and isn't repeated.
     """
     here = Window.partitionBy(place)
-    cut = rows.withColumn("block", F.floor((F.row_number().over(here.orderBy(*order)) - 1) / size).cast("int"))
+    before = F.row_number().over(here.orderBy(*order)) - 1
+    if weight is not None:
+        before = F.sum(weight).over(here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - weight
+    cut = rows.withColumn("block", F.floor(before / size).cast("int"))
     cut = cut.withColumn("last", F.max("block").over(here))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "last")

@@ -14,11 +14,13 @@ table.  The stream's order is that of the input's partitions.
 
 from __future__ import annotations
 
+import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from .common import Scratch, table, text_blocks
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of text between blanks whose ids a worker remembers: at most about as many, the last used ones.
-REMEMBERED = 1_600_000
+#: How byte-level BPE cuts texts before merging (a fixed value of the public GPT-2 scheme).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -38,111 +40,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by the bytes of each token, of a byte-level BPE whose merges stand in the order of their ids; None of any other tokenizer."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if model["type"] != "BPE" or any(odd) or spec["normalizer"] or not plain:
+        return None
+    solid = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in solid} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in solid)}
+    added, vocabulary = {t["content"] for t in spec["added_tokens"]}, model["vocab"]
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    tokens = {t: i for t, i in vocabulary.items() if t not in added}
+    if any(x >= y for x, y in zip([-1, *merged], merged, strict=False)) or not all(c in byte_of for t in tokens for c in t):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in tokens.items()}
+
+
+class Encoder:
+    """Ids of whole texts by a `tokenizers` file, whose special tokens are read as such.
+
+    Where the file is a plain byte-level BPE, tiktoken merges by the file's own
+    ranks, which gives the same ids several times faster and keeps nothing
+    between texts.  Texts that hold a special token's string, and all texts of
+    other kinds of tokenizers, go through `tokenizers` itself.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.path, self.whole, self.fast = path, None, None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = byte_ranks(spec)
+        if ranks:
+            import tiktoken
 
+            self.fast = tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-class BlankSplitEncoder:
-    """Ids of whole texts from ids of their pieces between blanks.
+    def _slow(self, text: str) -> list[int]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-    A byte-level BPE splits texts so that a blank before a solid character
-    opens a new piece and nothing reaches across it.  So a text cut before
-    each such blank, where the character before it is solid too, has the ids
-    of its pieces, and pieces recur.  Pieces at other white space stay joined.
-    """
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known, self.older = _encoder(path), {}, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # a byte-level blank
-
-    @classmethod
-    def shared(cls, path: str) -> "BlankSplitEncoder":
-        """This process's encoder of `path`, kept beside the tokenizers' module, as workers outlive their tasks."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_blank_split_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
-
-    def _tokenized(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces of one blank, before the rest, are tokenized as one text, as a token with a blank at its head opens each."""
-        joint = [p for p in pieces if p.rfind(" ") == 0 and len(p) > 1]
-        alone = pieces
-        if joint:
-            flat = self._tokenized(["".join(joint)])[0]
-            begin = np.flatnonzero(self.opens[flat])
-            if len(begin) == len(joint) and begin[0] == 0:
-                whole, cuts = flat.tobytes(), [*(begin * 4).tolist(), len(flat) * 4]
-                self.known.update(zip(joint, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-                alone = [p for p in pieces if p not in self.known]
-        self.known.update(zip(alone, [x.tobytes() for x in self._tokenized(alone)], strict=True))
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out, joined = [], parts[0]
-        for part in parts[1:]:
-            if part and joined and not part[0].isspace() and not joined[-1].isspace():
-                out.append(joined)
-                joined = " " + part
-            else:
-                joined += " " + part
-        out.append(joined)
-        return out
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian ids of pieces; what isn't remembered is tokenized."""
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        known.update({p: older[p] for p in new if p in older})
-        self._learn([p for p in new if p not in known])
-        return [known[p] for p in pieces]
-
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+    def encode(self, texts: list[str], end: bytes = b"") -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and `end` after each."""
-        out: list[bytes] = [end] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and _is_plain(t)]
-        for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain], end), strict=True):
-            out[i] = ids
-        rest = sorted({i for i, t in enumerate(texts) if t}.difference(plain))
-        for i in rest:
-            out[i] = b"".join(self._ids_of(self.pieces(texts[i]))) + end
-        return out
-
-    def _encode_plain(self, texts: list[str], end: bytes) -> list[bytes]:
-        """`encode` of texts whose every blank opens a piece: Arrow tells pieces apart and gathers their ids."""
-        if not texts:
-            return []
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        first = np.asarray(lists.offsets)[:-1]
-        coded = lists.values.dictionary_encode()
-        at = np.array(coded.indices)
-        # opening pieces have no blank before them
-        opening = coded.dictionary.take(pa.array(at[first])).to_pylist()
-        at[first] = np.arange(len(coded.dictionary), len(coded.dictionary) + len(first))
-        ids = self._ids_of([" " + p for p in coded.dictionary.to_pylist()] + opening)
-        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))  # its buffer is all texts' ids, one after the other
-        begin, whole = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1], taken.buffers()[2].to_pybytes()
-        cuts = begin[[*first, len(at)]].tolist()
-        return [whole[a:b] + end for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _is_plain(text: str) -> bool:
-    """Whether all white space is single blanks, between solid characters, and line ends."""
-    flat = text.replace("\n", " ")
-    return flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
+        for text in texts:
+            fast = self.fast and not any(s in text for s in self.special)
+            ids = array("I", self.fast.encode_ordinary(text) if fast else self._slow(text))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            yield ids.tobytes() + end
 
 
 def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", separator: int | None = SEPARATOR) -> DataFrame:
@@ -152,9 +101,9 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", separator: int
     schema = StructType([*docs.drop(text).schema.fields, *StructType.fromDDL("part int, place long, doc_tokens long, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = BlankSplitEncoder.shared(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, place = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in text_blocks(batches, text):
-            ids = encoder.encode([t or "" for t in batch.column(names.index(text)).to_pylist()], end)
+            ids = list(encoder.encode([t or "" for t in batch.column(names.index(text)).to_pylist()], end))
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
@@ -175,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
     spark = docs.sparkSession
     scratch = Scratch(spark)
     coded = scratch.keep(tokenize(docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")), tokenizer or default_tokenizer(), "text_", separator))
-    # one row per partition of the input, so this window's single task stays small
+    # one row of 20 bytes for each partition of the input, so this window's single task and the broadcast stay small
     totals = coded.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     base = totals.select(F.col("part").alias("part_"), (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     at = F.col("at")
