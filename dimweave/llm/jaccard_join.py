@@ -4,21 +4,25 @@ Documents are sets of distinct word shingles.  Two are linked when their
 Jaccard similarity is at least `PERCENT` / 100; the result is exact.
 
 1. Equal sets form a class; classes stand for their documents.
-2. Routing.  In any fixed order of all shingles, two linked sets share one
-   among the first n - ceil(0.75 n) + 1 of each.  Shingles that many documents
+2. Peeling.  Of the shingles whose hash is below a fixed bound (SAMPLED of
+   all), those that one class alone holds are counted.  A class that holds more
+   such shingles than a link can leave out is linked with none, and goes; so
+   only what is mostly shared is looked at further, and only its sets are kept.
+3. Routing.  In any fixed order of all shingles, two linked sets share one
+   among the first n - ceil(0.75 n) + 1 of each.  Shingles that many classes
    hold come last in the order (a heuristic that changes no result), so common
    passages route nothing.  Classes meet where such a shingle is the same;
    meeting places of the same classes are one.
-3. Star collapse.  Each meeting place's best known class is compared with
+4. Star collapse.  Each meeting place's best known class is compared with
    the others there, and what links becomes one component; copies of one text,
    be they thousands, need one comparison each.  It is done STARS times.
-4. Signature trees.  The places that still hold several components are each
+5. Signature trees.  The places that still hold several components are each
    searched by trees: leaves hold classes sorted by size, nodes the OR of
    their shingle bitmaps and their size range.  A dual traversal goes down
    only where the largest possible overlap reaches the threshold and the two
    sides aren't one component already.  A tree holds TREE classes at most;
    larger places are pairs of trees, each pair a task's work of its own.
-5. Pairs that survive are verified on whole shingle sets, and linked classes
+6. Pairs that survive are verified on whole shingle sets, and linked classes
    are joined by distributed union-find.
 
 Shingles are 64-bit hashes of five words; classes are 63-bit hashes of sets.
@@ -36,15 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, merge_places, mix, shingle_sets, small_side, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, merge_places, mix, shingle_sets, table, text_blocks, text_bytes
 from .components import connected_components
 
 WORDS = 5
 PERCENT = 75
-#: A shingle that this many texts of one block hold counts towards the common ones.
+#: Share of all shingles, by their hashes, that are counted to find classes without links; above a quarter, as a
+#: class is found once more than a quarter of its shingles are known to be its own.  Any share gives the same result.
+SAMPLED = 0.4
+_BELOW = np.uint64(int(SAMPLED * (1 << 53)) << 11)
+#: A shingle that this many sets of one batch hold counts towards the common ones.
 LOCAL_COMMON = 4
 #: Common shingles kept, the most frequent first. They only order the routing; any number gives the same result.
 COMMON_KEPT = 1 << 20
@@ -53,8 +61,9 @@ STARS = 2
 KEY_MASK = np.uint64((1 << 44) - 1)
 LEAF = 16
 FANOUT = 8
-#: Classes in one tree; a larger meeting place is searched as pairs of trees.
+#: Classes and unpacked bytes of bitmaps in one tree; a larger meeting place is searched as pairs of trees.
 TREE = 1024
+TREE_BYTES = 16 << 20
 #: Bits of a bitmap for each shingle, before rounding up to a power of two.
 BITS = 8
 
@@ -63,6 +72,15 @@ def linked(overlap: int, a: int, b: int) -> bool:
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
+def may_miss(n):
+    """How many of n shingles a set's links can leave out at most."""
+    return n - (PERCENT * n + 99) // 100
+
+
+def may_miss_sql(n: str) -> Column:
+    return F.col(n) - F.floor((PERCENT * F.col(n) + 99) / 100)
+
+
 def _need(a, b):
     """The least overlap that links sets of a and b elements: 100 o >= P (a + b - o)."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -77,53 +95,48 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, cls, 0) of texts, and (null, count, shingle, 1) of shingles that are common in a block."""
-    held: list[np.ndarray] = []
-
-    def common() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        held.clear()
-        h, n = h[n >= LOCAL_COMMON], n[n >= LOCAL_COMMON]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), np.int32))], names=["id", "n", "cls", "kind"])
-
+    """Rows (id, n, cls, keys) of texts; keys are the shingles below the bound, null for a set that the task has had."""
+    seen: set[int] = set()
     for batch in text_blocks(batches, "text"):
         sets = shingle_sets(text_bytes(batch.column(1)), WORDS)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(np.zeros(len(sets), np.int32))], names=["id", "n", "cls", "kind"]
-        )
-        held += sets
-        if sum(map(len, held)) > 3_000_000:
-            yield common()
-    yield common()
+        classes = [_class_of(s) for s in sets]
+        keys = [None if c in seen or seen.add(c) or not c else s[: np.searchsorted(s, _BELOW)] for c, s in zip(classes, sets, strict=True)]
+        ends = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(k for k in keys if k is not None)]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([k is None for k in keys]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], names=["id", "n", "cls", "keys"])
+
+
+def _elements(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(e, np.uint64) for e in column.to_pylist()]
+
+
+def _common_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, n) of those that several sets of a batch hold."""
+    for batch in batches:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_elements(batch.column(0))]), return_counts=True)
+        h, n = h[n >= LOCAL_COMMON], n[n >= LOCAL_COMMON]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
 
 def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
-    """Rows (cls, keys): the routing keys of each text, equal sets of a task once."""
+    """Rows (cls, keys): the routing keys of each set."""
     shingles, level = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in text_blocks(batches, "text"):
-            classes, sizes, keys = [], [], []
-            for s in shingle_sets(text_bytes(batch.column(0)), WORDS):
-                cls = _class_of(s)
-                if not len(s) or cls in seen:
-                    continue
-                seen.add(cls)
-                n = len(s)
-                p = n - (PERCENT * n + 99) // 100 + 1
+        for batch in batches:
+            keys = [np.zeros(0, np.int64)]
+            for s in _elements(batch.column(1)):
+                p = may_miss(len(s)) + 1
                 if len(shingles):
                     at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
                     rank = np.where(shingles[at] == s, level[at], 0)
                     first = s[np.argsort(rank, kind="stable")[:p]] if rank[:p].any() else s[:p]
                 else:
                     first = s[:p]
-                classes.append(cls)
-                sizes.append(len(first))
                 keys.append((mix(first) & KEY_MASK).view(np.int64))
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "keys"])
+            ends = np.cumsum(list(map(len, keys))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], names=["cls", "keys"])
 
     return run
 
@@ -323,9 +336,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     spread = left.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).select("hub", "salt", "cls")
     hubs = spread.select("hub", "salt").distinct().withColumn("cls", F.col("hub"))
     asked = scratch.keep(spread.unionByName(hubs))
-    rows = sets.select("cls", "elements").join(small_side(asked), "cls")
+    rows = sets.select("cls", "elements").join(scratch.small(asked), "cls")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls") != F.col("hub"))
-    out = scratch.keep(rows.select("hub", "cls", "elements").mapInArrow(_star_pass, "u long, v long"), free=True)
+    out = scratch.keep(rows.select("hub", "cls", "elements").mapInArrow(_star_pass, "u long, v long"))
     scratch.drop(left, asked)
     return out
 
@@ -335,33 +348,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    first = scratch.keep(texts.mapInArrow(_sets_pass, "id long, n long, cls long, kind int"))
-    rows = first.where("kind = 0")
+    first = scratch.keep(texts.mapInArrow(_sets_pass, "id long, n long, cls long, keys array<long>"))
+    # how many of the counted shingles each class alone holds; a common shingle is brought to a row a task before the shuffle
+    holders = first.select(F.explode("keys").alias("key"), "cls").groupBy("key").agg(F.min("cls").alias("cls"), F.max("cls").alias("high"))
+    alone = holders.where("cls = high").groupBy("cls").agg(F.count("*").alias("alone"))
+    classes = first.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("id").alias("id"))
+    picked = scratch.keep(classes.join(alone, "cls", "left").where(F.coalesce("alone", F.lit(0)) <= may_miss_sql("n")).select("cls", "id"))
+    rows = scratch.keep(first.select("id", "n", "cls"))
+    scratch.drop(first)
+
+    # whole sets and bitmaps of the classes that are left, from one document of each
+    source = texts.join(scratch.small(picked).where("id is not null"), "id").select("cls", "text")
+    nameless = picked.where("id is null").select("cls")
+    if nameless.limit(1).count():  # classes of rows without ids are found by their sets
+        source = source.unionByName(nameless.join(_classed(texts.where("id is null")), "cls").select("cls", "text"))
+    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, sig binary, elements binary").dropDuplicates(["cls"]))
 
     # the order of shingles: common ones last, by the power of two of their counts
-    common = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(f"n >= {4 * LOCAL_COMMON}")
-    top = common.orderBy(F.desc("n"), "cls").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT rows of 16 bytes
-    shingles = top["cls"].to_numpy(np.int64).view(np.uint64)
+    common = sets.select("elements").mapInArrow(_common_pass, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n >= {4 * LOCAL_COMMON}")
+    top = common.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).toPandas()  # at most COMMON_KEPT rows of 16 bytes
+    shingles = top["shingle"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(shingles)
     shared = spark.sparkContext.broadcast((shingles[by], np.log2(np.maximum(top["n"].to_numpy(np.int64), 1)).astype(np.int8)[by]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefix_pass(shared.value)(batches)
 
-    routed = texts.select("text").mapInArrow(prefixes, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
+    routed = sets.select("cls", "elements").mapInArrow(prefixes, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
     place = Window.partitionBy("key")
     meet = routed.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls")
-    meet = scratch.keep(merge_places(meet.distinct(), "key"), free=True)
-
-    # whole sets and bitmaps of the classes that meet others, from one document of each
+    meet = scratch.keep(merge_places(meet.distinct(), "key"))
     known = scratch.keep(meet.groupBy("cls").agg(F.count("*").alias("known")))
-    chosen = rows.where("id is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    nameless = rows.groupBy("cls").agg(F.max("id").alias("id")).where("id is null").select("cls")
-    picked = scratch.keep(known.select("cls").join(chosen, "cls"))
-    source = texts.join(small_side(picked), "id").select("cls", "text")
-    if nameless.join(known.select("cls"), "cls").limit(1).count():  # classes of rows without ids are found by their sets
-        source = source.unionByName(nameless.join(known.select("cls"), "cls").join(_classed(texts.where("id is null")), "cls").select("cls", "text"))
-    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, sig binary, elements binary"), free=True)
 
     edges, comps = None, known.select("cls", F.col("cls").alias("comp"))
     held = meet.join(known, "cls")
@@ -378,7 +395,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     left = held.join(comps, "cls")
     left = left.withColumns({"low": F.min("comp").over(place), "high": F.max("comp").over(place)}).where("low < high").select("key", "cls", "comp")
     places = merge_places(left.select("key", "cls"), "key").join(comps, "cls").join(sets.select("cls", "n"), "cls")
-    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE).join(sets.select("cls", "sig"), "cls")
+    weight = F.greatest(F.lit(TREE_BYTES // TREE), F.col("n") * 2 * BITS)
+    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight).join(sets.select("cls", "sig"), "cls")
     at = ["key", "low", "high"]
     tree = blocks.repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "comp", "n", "sig")
     pairs = scratch.keep(tree.mapInArrow(_tree_pass, "u long, v long").distinct())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, merge_places, mix, small_side, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, merge_places, mix, table, text_blocks, text_bytes
 from .components import connected_components
 
 #: Characters (code points) of a shingle, the least similarity of duplicates, bands and rows of a signature.
@@ -177,14 +177,14 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
     place = Window.partitionBy("band")
     meet = bands.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("band", "cls").distinct()
-    meet = scratch.keep(merge_places(meet, "band"), free=True)
+    meet = scratch.keep(merge_places(meet, "band"))
     nodes = scratch.keep(meet.select("cls").distinct())
 
     # the lines of classes that meet others, each from its first document
-    first = lines.join(small_side(nodes), "cls").groupBy("cls").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    first = lines.join(scratch.small(nodes), "cls").groupBy("cls").agg(F.min(F.struct("row", "line_no")).alias("at"))
     asked = scratch.keep(first.groupBy("at.row").agg(F.collect_list("at.line_no").alias("numbers")))  # lines of one document at most
-    once = docs.select("row", "text").join(small_side(asked), "row").select("numbers", "text")
-    texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]), free=True)
+    once = docs.select("row", "text").join(scratch.small(asked), "row").select("numbers", "text")
+    texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]))
 
     edges, held, tried = None, meet, None
     for _ in range(STARS):
@@ -194,7 +194,7 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
         pairs = hub.unionByName(near).distinct()
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         lined = pairs.join(texts.select(F.col("cls").alias("u"), F.col("line").alias("line_u")), "u").join(texts.select(F.col("cls").alias("v"), F.col("line").alias("line_v")), "v")
-        links = scratch.keep(lined.mapInArrow(_verify_pass, "u long, v long"), free=True)
+        links = scratch.keep(lined.mapInArrow(_verify_pass, "u long, v long"))
         edges = links if edges is None else edges.unionByName(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
         held = _apart(held, nodes, scratch.keep(connected_components(edges, scratch)))
@@ -203,7 +203,7 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     blocks = block_pairs(held.join(sized, "cls"), "band", [F.col("size"), F.col("cls")], BLOCK).join(texts, "cls")
     at = ["band", "low", "high"]
     rest = blocks.repartition(*at).sortWithinPartitions(*at, "size", "cls").select(*at, "block", "cls", "comp", "line")
-    edges = edges.unionByName(scratch.keep(rest.mapInArrow(_rest_pass, "u long, v long"), free=True))
+    edges = edges.unionByName(scratch.keep(rest.mapInArrow(_rest_pass, "u long, v long")))
     return lines, scratch.keep(connected_components(edges, scratch)).withColumnRenamed("id", "cls")
 
 
@@ -258,8 +258,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     at = F.struct(F.col("id").isNull(), "id", "row", "line_no")
     firsts = solid.groupBy("comp").agg(F.min(at).alias("first"))
     gone = solid.join(firsts, "comp").where(~F.col("first").eqNullSafe(F.struct(F.col("id").isNull(), "id", "row", "line_no")))
-    cut = scratch.keep(gone.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line_no").alias("gone")), free=True)  # lines of one document at most
-    out = named.join(small_side(cut), "row_", "left")
+    cut = scratch.keep(gone.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line_no").alias("gone")))  # lines of one document at most
+    out = named.join(scratch.small(cut), "row_", "left")
     parts = F.split(F.col(text), "\n")
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.filter(parts, lambda x, i: ~F.array_contains(numbers, i))

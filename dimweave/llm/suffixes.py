@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix, small_side, table, text_blocks, text_bytes
+from .common import Scratch, Words, mix, table, text_blocks, text_bytes
 
 MIN_WORDS = 50
 RUN = 36
@@ -227,19 +227,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     again = kept.withColumns({"low": F.min(me).over(run), "high": F.max(me).over(run), "mixed": F.min("ctx").over(run) != F.max("ctx").over(run)}).where("low <> high")
     again = again.withColumns({"low": F.min(me).over(context), "high": F.max(me).over(context)})
     shared = again.select("ctx", "s0", "s1", "id", "row", "at", "lo", "hi", "mixed", (F.col("low") != F.col("high")).alias("many"), (me == F.col("low")).alias("head"), F.col("low.id").alias("first_id"))
-    shared = scratch.keep(shared.distinct(), free=True)
+    shared = scratch.keep(shared.distinct())
     listed = scratch.keep(shared.where("mixed and head").groupBy("row").agg(F.collect_list(F.struct("ctx", "many", "at", "lo", "hi")).alias("runs")))  # of one text at most
-    windowed = texts.join(small_side(listed), "row").select("id", "row", "runs", "text")
-    wins = scratch.keep(windowed.mapInArrow(_window_pass, "win long, ctx long, many boolean, id long, row long, at int, start int"), free=True)
+    windowed = texts.join(scratch.small(listed), "row").select("id", "row", "runs", "text")
+    wins = scratch.keep(windowed.mapInArrow(_window_pass, "win long, ctx long, many boolean, id long, row long, at int, start int"))
     place = F.struct("id", "row", "at", "start")
     found = wins.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("many").alias("many"))
     found = scratch.keep(found.where("first <> last or many").select("win", "first", (F.col("first") != F.col("last")).alias("several")))
-    met = scratch.keep(wins.drop("many").join(found, "win").select("win", "ctx", "id", "row", "at", "several", F.col("first.id").alias("first_id")), free=True)
+    met = scratch.keep(wins.drop("many").join(found, "win").select("win", "ctx", "id", "row", "at", "several", F.col("first.id").alias("first_id")))
     earliest = met.groupBy("ctx").agg(F.min("first_id").alias("earliest"))
     same = shared.where("many").join(earliest, "ctx", "left").withColumn("first_id", F.coalesce("earliest", "first_id"))
     zero = F.lit(0).cast("int")
     members = same.select(F.col("ctx").alias("run"), *_ORDER[1:], "first_id").unionByName(met.where("several").select(F.col("win").alias("run"), zero.alias("s0"), zero.alias("s1"), "id", "row", "at", "first_id"))
-    ordered = scratch.keep(members, free=True).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    ordered = scratch.keep(members).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
     firsts = found.select("first.row", F.col("first.start").alias("lo"), F.col("first.start").alias("hi")).unionByName(shared.where("head and not mixed").select("row", "lo", "hi"))
     firsts = firsts.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts"))  # of one text at most
     near = scratch.keep(ordered.mapInArrow(_neighbour_pass, _PAIR))
@@ -256,11 +256,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     needed = scratch.keep(grouped)
     rows = scratch.keep(needed.select(F.col("row_a").alias("row")).unionByName(needed.select(F.col("row_b").alias("row"))).distinct())
     held = scratch.keep(rows.join(firsts, "row", "left"))
-    used = scratch.keep(texts.join(small_side(held), "row"), free=True)
+    used = scratch.keep(texts.join(scratch.small(held), "row"))
     side = lambda x: used.select(*(F.col(c).alias(f"{c}_{x}") for c in ("row", "text", "firsts")))
     both = needed.join(side("a"), "row_a").join(side("b"), "row_b")
     matches = both.select("row_a", "row_b", "pairs", "text_a", "text_b", "firsts_a", "firsts_b").mapInArrow(_extend_pass(min_words), "row long, n_words long, start_byte long, end_byte long, late long, first_id long")
-    matches = scratch.keep(matches.distinct(), free=True)
+    matches = scratch.keep(matches.distinct())
 
     # overlapping matches of one text and kind become one stretch
     by = Window.partitionBy("row", "late").orderBy("start_byte", "end_byte")

@@ -339,15 +339,27 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert out == [(host, path, rule, verdict)] * 2
 
 
-def test_ids_of_pieces_equal_those_of_whole_texts():
-    import numpy as np
+def test_fast_ids_equal_those_of_tokenizers():
     from tokenizers import Tokenizer
 
-    from dimweave.llm.packing import BlankSplitEncoder, default_tokenizer
-
-    texts = ["", "a", "\n", " a", " ", "a b", "a\nb c", "x  y", "  b c", "a <|endoftext|> b", "é ü\n日本 語", "tab\tb c", "a b ", "1 2 3's don't", "a\r\nb c", "a b c"]
-    whole = Tokenizer.from_file(default_tokenizer())
-    expected = [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
-    encoder = BlankSplitEncoder(default_tokenizer())
-    assert encoder.encode(texts, np.array([1], "<u4").tobytes()) == expected
-    assert encoder.encode(texts[::-1], np.array([1], "<u4").tobytes()) == expected[::-1]
+    odd = ["", "a", "\n", " a", " ", "a b", "a\nb c", "x  y", "  b c", "a <|endoftext|> b", "é ü\n日本 語", "tab\tb c", "a b ", "1 2 3's don't", "a\r\nb c", "\x1c\x85 ½²٣Ⅷ ǅ 👩‍👩‍👧", "a" * 50_000, " " * 50_000 + "x", "ab\u00a0\u2028 c" * 9000]
+    texts = [*odd, *(t or "" for t in corpus(3))]
+    whole, end = Tokenizer.from_file(packing.default_tokenizer()), np.array([1], "<u4").tobytes()
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert encoder.fast is not None
+    assert list(encoder.encode(texts, end)) == [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    encoder.fast = None  # as for other kinds of tokenizers
+    assert list(encoder.encode(odd[:10], end)) == [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in odd[:10]]
+
+
+def test_classes_are_peeled_only_by_shingles_of_their_own(spark, monkeypatch):
+    """With every share of counted shingles the result is the same, also where texts are mostly made of shared passages."""
+    r = random.Random(31)
+    passages = [" ".join(words(r, 25)) for _ in range(9)]
+    texts = [" ".join([*r.sample(passages, 4), *words(r, r.randrange(0, 60))]) for _ in range(60)]
+    texts += [" ".join(t.split()[:-1]) for t in texts[::4]]
+    results = []
+    for below in (0, int(0.4 * (1 << 64)), (1 << 64) - 1):
+        monkeypatch.setattr(jaccard_join, "_BELOW", np.uint64(below))
+        results.append(sorted(map(tuple, jaccard_join.jaccard_components(docs(spark, texts)).collect())))
+    assert results[0] == results[1] == results[2] and len({c for _, _, c in results[0]}) < len(texts)
