@@ -11,19 +11,20 @@ Jaccard similarity is at least `PERCENT` / 100; the result is exact.
 3. Routing.  In any fixed order of all shingles, two linked sets share one
    among the first n - ceil(0.75 n) + 1 of each.  Shingles that many classes
    hold come last in the order (a heuristic that changes no result), so common
-   passages route nothing.  Classes meet where such a shingle is the same;
+   passages route nothing.  Classes meet where such a shingle is the same, if
+   it stands early enough in both orders to be the first that they share;
    meeting places of the same classes are one.
-4. Star collapse.  Each meeting place's best known class is compared with
-   the others there, and what links becomes one component; copies of one text,
-   be they thousands, need one comparison each.  It is done STARS times.
-5. Signature trees.  The places that still hold several components are each
-   searched by trees: leaves hold classes sorted by size, nodes the OR of
-   their shingle bitmaps and their size range.  A dual traversal goes down
-   only where the largest possible overlap reaches the threshold and the two
-   sides aren't one component already.  A tree holds TREE classes at most;
-   larger places are pairs of trees, each pair a task's work of its own.
-6. Pairs that survive are verified on whole shingle sets, and linked classes
-   are joined by distributed union-find.
+4. Hubs.  In each meeting place whole sets are compared with a hub, and what
+   links becomes one component; copies of one text, be they thousands, need one
+   comparison each.  It is done up to HUBS times, with what is left.
+5. Signature trees.  Places that still hold several components are searched by
+   trees: leaves hold classes sorted by component and size, nodes the OR of
+   their shingle bitmaps and their size range.  A dual traversal goes down only
+   where the largest possible overlap reaches the threshold and the two sides
+   aren't one component already; pairs that survive are verified on whole sets.
+   A tree holds TREE classes at most; larger places are pairs of trees, each
+   pair a task's work of its own.
+6. Linked classes are joined by distributed union-find.
 
 Shingles are 64-bit hashes of five words; classes are 63-bit hashes of sets.
 
@@ -56,7 +57,8 @@ _BELOW = np.uint64(int(SAMPLED * (1 << 53)) << 11)
 LOCAL_COMMON = 4
 #: Common shingles kept, the most frequent first. They only order the routing; any number gives the same result.
 COMMON_KEPT = 1 << 20
-STARS = 2
+#: Hubs that a place's classes are compared with before its trees are searched.
+HUBS = 4
 #: Bits of a routing key; equal keys of different shingles only cost a comparison.
 KEY_MASK = np.uint64((1 << 44) - 1)
 LEAF = 16
@@ -120,13 +122,13 @@ def _common_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
-    """Rows (cls, keys): the routing keys of each set."""
+    """Rows (cls, n, keys): the routing keys of each set, in the order of all shingles."""
     shingles, level = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.zeros(0, np.int64)]
-            for s in _elements(batch.column(1)):
+            keys, sets = [np.zeros(0, np.int64)], _elements(batch.column(1))
+            for s in sets:
                 p = may_miss(len(s)) + 1
                 if len(shingles):
                     at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
@@ -136,25 +138,19 @@ def _prefix_pass(common: tuple[np.ndarray, np.ndarray]):
                     first = s[:p]
                 keys.append((mix(first) & KEY_MASK).view(np.int64))
             ends = np.cumsum(list(map(len, keys))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], names=["cls", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), lists], names=["cls", "n", "keys"])
 
     return run
 
 
 def _fetch_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, n, sig, elements): a text's bitmap of some bits a shingle, and its whole set."""
+    """Rows (cls, n, elements): a text's whole set."""
     for batch in text_blocks(batches, "text"):
         sets = shingle_sets(text_bytes(batch.column(1)), WORDS)
         keep = [(int(c), s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True) if len(s) and _class_of(s) == c]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([c for c, _ in keep], pa.int64()),
-                pa.array([len(s) for _, s in keep], pa.int64()),
-                pa.array([_bitmap(s) for _, s in keep], pa.binary()),
-                pa.array([s.tobytes() for _, s in keep], pa.binary()),
-            ],
-            names=["cls", "n", "sig", "elements"],
-        )
+        columns = [pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "elements"])
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -184,13 +180,13 @@ def most_overlap(sig_a: np.ndarray, n_a: int, sig_b: np.ndarray, n_b: int) -> in
 class SignatureTree:
     """A tree over classes of one meeting place.
 
-    Items are sorted by size.  A node has its items' range, least and largest
+    Items are sorted by component and size.  A node has its items' range, least and largest
     size, the OR of their bitmaps (at the length of the tree's shortest), the
     least count of bits an item has there, and its component if all share one.
     """
 
     def __init__(self, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: list[np.ndarray]):
-        order = np.lexsort((ids, sizes))
+        order = np.lexsort((ids, sizes, comps))
         self.ids, self.comps, self.sizes = ids[order], comps[order], sizes[order]
         self.sigs = [sigs[i] for i in order]
         self.width = min(map(len, sigs))
@@ -212,7 +208,7 @@ class SignatureTree:
         sig = np.logical_or.reduce([c[4] for c in children]) if children else folded[a:b].any(axis=0)
         fill = min(c[6] for c in children) if children else int(folded[a:b].sum(axis=1).min())
         same = self.comps[a] if (self.comps[a:b] == self.comps[a]).all() else None
-        return (a, b, int(self.sizes[a]), int(self.sizes[b - 1]), sig, same, fill, tuple(children))
+        return (a, b, int(self.sizes[a:b].min()), int(self.sizes[a:b].max()), sig, same, fill, tuple(children))
 
 
 def _apart(x: tuple, y: tuple) -> bool:
@@ -265,84 +261,89 @@ def _leaf_pairs(s: SignatureTree, x: tuple, t: SignatureTree, y: tuple) -> Itera
     yield from ((x[0] + int(i), y[0] + int(j)) for i, j in zip(*np.nonzero(may), strict=True))
 
 
-def _tree_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (u, v); rows (key, low, high, block, cls, comp, n, sig) come sorted by the first three.
+class _Place:
+    """The classes of one meeting place, or of two of its blocks, and what is known to link."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        rows.sort(key=lambda r: (len(r[2]), r[1]))
+        self.blocks, self.ids = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+        self.sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.sizes = np.array(list(map(len, self.sets)), np.int64)
+        self.parent, self.links = list(range(len(rows))), []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = sorted((self.root(i), self.root(j)))
+        if a != b:
+            self.parent[b] = a
+            self.links.append((int(self.ids[i]), int(self.ids[j])))
+
+    def overlaps(self, i: int, others: list[int]) -> np.ndarray:
+        """Sizes of set i's intersections with `others`."""
+        own, flat = self.sets[i], np.concatenate([self.sets[j] for j in others])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        sizes = self.sizes[others]
+        return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+    def hubs(self) -> bool:
+        """Compares hubs with all others; whether several components are left."""
+        left = list(range(len(self.ids)))
+        for _ in range(HUBS):
+            if len(left) < 2:
+                break
+            hub = left[len(left) // 2]
+            others = [i for i in left if i != hub]
+            both = self.overlaps(hub, others)
+            near = 100 * both >= PERCENT * (self.sizes[hub] + self.sizes[others] - both)
+            for i in np.array(others)[near].tolist():
+                self.link(hub, i)
+            left = [i for i, k in zip(others, near.tolist(), strict=True) if not k]
+        return any(self.root(i) != self.root(0) for i in range(len(self.ids)))
+
+    def trees(self) -> None:
+        """Finds the links that hubs didn't, between blocks or within the only one."""
+        trees = []
+        for block in np.unique(self.blocks):
+            part = np.flatnonzero(self.blocks == block)
+            comps = np.array([self.root(i) for i in part], np.int64)
+            trees.append(SignatureTree(part, comps, self.sizes[part], [_bits(_bitmap(self.sets[i])) for i in part]))
+        for i, j in tree_pairs(trees[0], trees[-1]):
+            if self.root(i) != self.root(j) and linked(int(self.overlaps(i, [j])[0]), int(self.sizes[i]), int(self.sizes[j])):
+                self.link(i, j)
+
+
+def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) enough to join what links in each place; rows (key, low, high, block, cls, elements) come sorted by the first three.
 
     Rows of one key, low and high are one block of a meeting place, searched
     in itself, or two blocks, searched against each other.
     """
-    names = ["key", "low", "high", "block", "cls", "comp", "n", "sig"]
+    names = ["key", "low", "high", "block", "cls", "elements"]
 
     def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        trees = []
-        for block in sorted({r[3] for r in rows}):
-            part = [r for r in rows if r[3] == block]
-            trees.append(SignatureTree(*(np.array([r[c] for r in part], np.int64) for c in (4, 5, 6)), [_bits(r[7]) for r in part]))
-        found = list(tree_pairs(trees[0], trees[-1]))
-        if found:
-            p = np.array(found, np.int64)
+        place = _Place(rows)
+        if place.hubs():
+            place.trees()
+        if place.links:
+            p = np.array(place.links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], names=["u", "v"])
 
-    held: list[tuple] = []
+    here, held = None, []
     for batch in batches:
         for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-            if held and held[0][:3] != row[:3]:
-                yield from search(held)
-                held = []
-            held.append(row)
+            if row[:3] != here:
+                if held:
+                    yield from search(held)
+                here, held = row[:3], []
+            held.append(row[3:])
     if held:
         yield from search(held)
 
 
-def _star_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links (u, v); rows (hub, salt, cls, n, elements) come sorted by hub, the hub's own row first of each."""
-    hub, own = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        u, v = [], []
-        col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("hub", "cls", "elements")}
-        for h, c, e in zip(col["hub"].to_pylist(), col["cls"].to_pylist(), col["elements"].to_pylist(), strict=True):
-            s = np.frombuffer(e, np.uint64)
-            if c == h:
-                hub, own = h, s
-            elif hub == h:
-                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                if linked(int(np.count_nonzero(own[at] == s)), len(own), len(s)):
-                    u.append(h)
-                    v.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-
-#: Rows of one hub that a task verifies; a hub with more is copied to several tasks.
-STAR_ROWS = 512
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links among candidate `pairs` (hub, cls), by whole sets.  Sizes and bitmaps rule out most before sets move."""
-    small = sets.select("cls", "n", "sig")
-    a, b = small.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub"), F.col("sig").alias("sig_hub")), small
-    sized = pairs.join(a.select("hub", "n_hub"), "hub").join(b.select("cls", "n"), "cls").where(100 * F.least("n", "n_hub") >= PERCENT * F.greatest("n", "n_hub"))
-    tested = sized.join(a.select("hub", "sig_hub"), "hub").join(b.select("cls", "sig"), "cls")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hub", "cls", "n_hub", "n", "sig_hub", "sig")}
-            keep = [
-                most_overlap(_bits(s), m, _bits(t), n) >= _need(m, n) for m, n, s, t in zip(c["n_hub"], c["n"], c["sig_hub"], c["sig"], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c[n], keep, strict=True) if k], pa.int64()) for n in ("hub", "cls")], names=["hub", "cls"])
-
-    left = scratch.keep(tested.mapInArrow(bound, "hub long, cls long"))
-    salts = left.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("salts"))
-    spread = left.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).select("hub", "salt", "cls")
-    hubs = spread.select("hub", "salt").distinct().withColumn("cls", F.col("hub"))
-    asked = scratch.keep(spread.unionByName(hubs))
-    rows = sets.select("cls", "elements").join(scratch.small(asked), "cls")
-    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls") != F.col("hub"))
-    out = scratch.keep(rows.select("hub", "cls", "elements").mapInArrow(_star_pass, "u long, v long"))
-    scratch.drop(left, asked)
-    return out
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row of `docs`."""
     spark = docs.sparkSession
@@ -357,12 +358,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = scratch.keep(first.select("id", "n", "cls"))
     scratch.drop(first)
 
-    # whole sets and bitmaps of the classes that are left, from one document of each
+    # whole sets of the classes that are left, from one document of each
     source = texts.join(scratch.small(picked).where("id is not null"), "id").select("cls", "text")
     nameless = picked.where("id is null").select("cls")
     if nameless.limit(1).count():  # classes of rows without ids are found by their sets
         source = source.unionByName(nameless.join(_classed(texts.where("id is null")), "cls").select("cls", "text"))
-    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, sig binary, elements binary").dropDuplicates(["cls"]))
+    sets = scratch.keep(source.mapInArrow(_fetch_pass, "cls long, n long, elements binary").dropDuplicates(["cls"]))
 
     # the order of shingles: common ones last, by the power of two of their counts
     common = sets.select("elements").mapInArrow(_common_pass, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(f"n >= {4 * LOCAL_COMMON}")
@@ -374,33 +375,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefix_pass(shared.value)(batches)
 
-    routed = sets.select("cls", "elements").mapInArrow(prefixes, "cls long, keys array<long>").select(F.explode("keys").alias("key"), "cls")
+    routed = sets.select("cls", "elements").mapInArrow(prefixes, "cls long, n long, keys array<long>").select("cls", "n", F.posexplode("keys").alias("pos", "key"))
     place = Window.partitionBy("key")
-    meet = routed.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls")
-    meet = scratch.keep(merge_places(meet.distinct(), "key"))
-    known = scratch.keep(meet.groupBy("cls").agg(F.count("*").alias("known")))
-
-    edges, comps = None, known.select("cls", F.col("cls").alias("comp"))
-    held = meet.join(known, "cls")
-    for _ in range(STARS):
-        here = held.join(comps, "cls")
-        state = here.withColumns({"low": F.min("comp").over(place), "high": F.max("comp").over(place), "hub": F.max(F.struct("known", "cls")).over(place)["cls"]}).where("low < high")
-        held = scratch.keep(state.select("key", "cls", "known", "hub", F.max(F.when(F.col("cls") == F.col("hub"), F.col("comp"))).over(place).alias("hub_comp"), "comp"))
-        links = _verify(held.where("cls <> hub and comp <> hub_comp").select("hub", "cls").distinct(), sets, scratch)
-        edges = links if edges is None else edges.unionByName(links)
-        found = connected_components(edges, scratch)
-        comps = scratch.keep(known.select("cls").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")))
-        held = held.where("cls <> hub").select("key", "cls", "known")  # the hub has met everyone here
-
-    left = held.join(comps, "cls")
-    left = left.withColumns({"low": F.min("comp").over(place), "high": F.max("comp").over(place)}).where("low < high").select("key", "cls", "comp")
-    places = merge_places(left.select("key", "cls"), "key").join(comps, "cls").join(sets.select("cls", "n"), "cls")
+    # at the first shingle that x shares with y, x has n - pos at most in common with it: so y's size is at most this
+    largest = F.floor((F.lit(100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
+    early = routed.withColumn("least", F.min("n").over(place)).where(largest >= F.col("least"))
+    several = early.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls").distinct()
+    places = merge_places(several, "key").join(sets.select("cls", "n"), "cls")
     weight = F.greatest(F.lit(TREE_BYTES // TREE), F.col("n") * 2 * BITS)
-    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight).join(sets.select("cls", "sig"), "cls")
+    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight)
+    blocks = scratch.keep(blocks.select("key", "low", "high", "block", "cls"))
     at = ["key", "low", "high"]
-    tree = blocks.repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "comp", "n", "sig")
-    pairs = scratch.keep(tree.mapInArrow(_tree_pass, "u long, v long").distinct())
-    edges = edges.unionByName(_verify(pairs.select(F.col("u").alias("hub"), F.col("v").alias("cls")), sets, scratch))
+    whole = blocks.join(sets.select("cls", "elements"), "cls").repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "elements")
+    edges = scratch.keep(whole.mapInArrow(_place_pass, "u long, v long"))
 
     found = connected_components(edges, scratch)
     members = rows.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
