@@ -107,17 +107,16 @@ def bounded_sample(rows: DataFrame, order: Column, size: int, count: int) -> Dat
     return near.orderBy(F.pmod(order, F.lit(1 << 30)), order).limit(size)
 
 
-def merge_places(meet: DataFrame, place: str) -> DataFrame:
-    """Distinct rows (place, cls), with places of the same members made one.
+def meeting_places(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows (place, cls): the classes of `rows` (key, cls) that share a key with another class.
 
-    A place's new name is a hash of its members; should two names be equal by
-    chance, their members meet in one place, which loses no pair.
+    A place is named by the smallest class that has its key, and keys of one
+    smallest class are one place: so any two classes that share a key share a
+    place, and a class of k keys is in k places at most, mostly in very few.
     """
-    here = Window.partitionBy(place)
-    members = (F.bit_xor("h1"), F.bit_xor("h2"), F.min("cls"), F.max("cls"), F.count("cls"))
-    hashed = meet.select(place, "cls", F.xxhash64("cls").alias("h1"), F.xxhash64("cls", F.lit(1)).alias("h2"))
-    named = hashed.select("cls", *(m.over(here).alias(f"m{i}") for i, m in enumerate(members)))
-    return named.select(F.xxhash64(*(f"m{i}" for i in range(len(members)))).alias(place), "cls").distinct()
+    here = Window.partitionBy(key)
+    low, high = F.min("cls").over(here), F.max("cls").over(here)
+    return rows.select(low.alias("place"), high.alias("high"), "cls").where("place < high").select("place", "cls").distinct()
 
 
 def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int, weight: Column | None = None) -> DataFrame:

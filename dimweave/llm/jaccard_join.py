@@ -12,8 +12,8 @@ Jaccard similarity is at least `PERCENT` / 100; the result is exact.
    among the first n - ceil(0.75 n) + 1 of each.  Shingles that many classes
    hold come last in the order (a heuristic that changes no result), so common
    passages route nothing.  Classes meet where such a shingle is the same, if
-   it stands early enough in both orders to be the first that they share;
-   meeting places of the same classes are one.
+   it stands early enough in both orders to be the first that they share, all
+   shingles of one smallest class in one place.
 4. Hubs.  In each meeting place whole sets are compared with a hub, and what
    links becomes one component; copies of one text, be they thousands, need one
    comparison each.  It is done up to HUBS times, with what is left.
@@ -44,8 +44,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, merge_places, mix, shingle_sets, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, meeting_places, mix, shingle_sets, table, text_blocks, text_bytes
 from .components import connected_components
+from .places import Place, grouped, link_batch
 
 WORDS = 5
 PERCENT = 75
@@ -261,49 +262,7 @@ def _leaf_pairs(s: SignatureTree, x: tuple, t: SignatureTree, y: tuple) -> Itera
     yield from ((x[0] + int(i), y[0] + int(j)) for i, j in zip(*np.nonzero(may), strict=True))
 
 
-class _Place:
-    """The classes of one meeting place, or of two of its blocks, and what is known to link."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
-        rows.sort(key=lambda r: (len(r[2]), r[1]))
-        self.blocks, self.ids = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-        self.sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        self.sizes = np.array(list(map(len, self.sets)), np.int64)
-        self.parent, self.links = list(range(len(rows))), []
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = sorted((self.root(i), self.root(j)))
-        if a != b:
-            self.parent[b] = a
-            self.links.append((int(self.ids[i]), int(self.ids[j])))
-
-    def overlaps(self, i: int, others: list[int]) -> np.ndarray:
-        """Sizes of set i's intersections with `others`."""
-        own, flat = self.sets[i], np.concatenate([self.sets[j] for j in others])
-        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-        sizes = self.sizes[others]
-        return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-
-    def hubs(self) -> bool:
-        """Compares hubs with all others; whether several components are left."""
-        left = list(range(len(self.ids)))
-        for _ in range(HUBS):
-            if len(left) < 2:
-                break
-            hub = left[len(left) // 2]
-            others = [i for i in left if i != hub]
-            both = self.overlaps(hub, others)
-            near = 100 * both >= PERCENT * (self.sizes[hub] + self.sizes[others] - both)
-            for i in np.array(others)[near].tolist():
-                self.link(hub, i)
-            left = [i for i, k in zip(others, near.tolist(), strict=True) if not k]
-        return any(self.root(i) != self.root(0) for i in range(len(self.ids)))
-
+class _SetPlace(Place):
     def trees(self) -> None:
         """Finds the links that hubs didn't, between blocks or within the only one."""
         trees = []
@@ -312,36 +271,21 @@ class _Place:
             comps = np.array([self.root(i) for i in part], np.int64)
             trees.append(SignatureTree(part, comps, self.sizes[part], [_bits(_bitmap(self.sets[i])) for i in part]))
         for i, j in tree_pairs(trees[0], trees[-1]):
-            if self.root(i) != self.root(j) and linked(int(self.overlaps(i, [j])[0]), int(self.sizes[i]), int(self.sizes[j])):
+            if self.root(i) != self.root(j) and self.near(i, [j])[0]:
                 self.link(i, j)
 
 
 def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) enough to join what links in each place; rows (key, low, high, block, cls, elements) come sorted by the first three.
+    """Links (u, v) enough to join what links in each place; rows (place, low, high, block, cls, elements) come sorted by the first three.
 
-    Rows of one key, low and high are one block of a meeting place, searched
+    Rows of one place, low and high are one block of a meeting place, searched
     in itself, or two blocks, searched against each other.
     """
-    names = ["key", "low", "high", "block", "cls", "elements"]
-
-    def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        place = _Place(rows)
-        if place.hubs():
+    for rows in grouped(batches, ["place", "low", "high"], ["block", "cls", "elements"]):
+        place = _SetPlace(*zip(*((b, c, np.frombuffer(e, np.uint64)) for b, c, e in rows), strict=True), PERCENT)
+        if place.hubs(HUBS):
             place.trees()
-        if place.links:
-            p = np.array(place.links, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], names=["u", "v"])
-
-    here, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-            if row[:3] != here:
-                if held:
-                    yield from search(held)
-                here, held = row[:3], []
-            held.append(row[3:])
-    if held:
-        yield from search(held)
+        yield link_batch(place.links)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,16 +320,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         yield from _prefix_pass(shared.value)(batches)
 
     routed = sets.select("cls", "elements").mapInArrow(prefixes, "cls long, n long, keys array<long>").select("cls", "n", F.posexplode("keys").alias("pos", "key"))
-    place = Window.partitionBy("key")
     # at the first shingle that x shares with y, x has n - pos at most in common with it: so y's size is at most this
     largest = F.floor((F.lit(100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
-    early = routed.withColumn("least", F.min("n").over(place)).where(largest >= F.col("least"))
-    several = early.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("key", "cls").distinct()
-    places = merge_places(several, "key").join(sets.select("cls", "n"), "cls")
+    early = routed.withColumn("least", F.min("n").over(Window.partitionBy("key"))).where(largest >= F.col("least"))
+    places = meeting_places(early, "key").join(sets.select("cls", "n"), "cls")
     weight = F.greatest(F.lit(TREE_BYTES // TREE), F.col("n") * 2 * BITS)
-    blocks = block_pairs(places, "key", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight)
-    blocks = scratch.keep(blocks.select("key", "low", "high", "block", "cls"))
-    at = ["key", "low", "high"]
+    blocks = block_pairs(places, "place", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight)
+    blocks = scratch.keep(blocks.select("place", "low", "high", "block", "cls"))
+    at = ["place", "low", "high"]
     whole = blocks.join(sets.select("cls", "elements"), "cls").repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "elements")
     edges = scratch.keep(whole.mapInArrow(_place_pass, "u long, v long"))
 

@@ -3,17 +3,20 @@
 Lines of all documents are compared as sets of character shingles.  Equal
 lines are one class first.  Each class's signature (one hash of every shingle,
 dealt to SLOTS slots that keep their smallest; slots that stay empty copy others
-in random orders) is cut to bands; classes with
-an equal band meet; places of the same classes are one.  Where they meet, each is paired with the place's first
-class and with its neighbour, and pairs are verified by exact Jaccard
-similarity on whole lines.  Places whose classes stay apart are paired again
-without their first class, STARS times in all; what is left is compared
-exactly, place by place, a larger place as pairs of its blocks.  Distributed union-find
-joins what is verified, and of each component the first line, by document
-and line number, is kept.
-
-Lines are compared after case folding and with white space runs as one blank.
-Lines of white space only are no lines to compare and stay as they are.
+in random orders) is cut to bands; classes with an equal band meet, all bands of
+one smallest class in one place.  Where they meet, whole lines are verified by exact
+Jaccard similarity, first with up to HUBS hubs, then whatever is not yet one
+component; a place of more than BLOCK classes is searched as pairs of its blocks.
+Distributed union-find joins what is verified, and of each component the first
+line, by document and line number, is kept.
+
+Lines are compared with A-Z in lower case (other letters as they are) and with
+white space runs as one blank.  Lines of white space only are no lines to
+compare and stay as they are.
+
+Equal lines are told by 127 bits of a hash; candidates travel with 63 of them,
+and where two lines share those, only the first line's component is applied.
+Shingles of a place are compared by 64-bit hashes.
 
 Defined results: null texts stay null; empty texts stay empty; a document all
 of whose lines go has an empty text; rows without an id stand last; rows with
@@ -31,45 +34,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, merge_places, mix, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, meeting_places, mix, table, text_blocks, text_bytes
 from .components import connected_components
+from .places import Place, grouped, link_batch
 
-#: Characters (code points) of a shingle, the least similarity of duplicates, bands and rows of a signature.
+#: Characters (code points) of a shingle, the least similarity of duplicates in percent, bands and rows of a signature.
 #: One changed character leaves a line of L characters (L - 9) / (L + 1) alike, which links from L = 39 on.
+#: Lines that are just similar enough meet with probability 0.991, those of similarity 0.8 with 0.9993.
 SHINGLE = 5
-SIMILAR = 0.75
-BANDS = 20
-ROWS = 4
+PERCENT = 75
+BANDS = 24
+ROWS = 6
 SLOTS = BANDS * ROWS
-STARS = 2
+HUBS = 8
 #: Classes of one place that a task compares in itself; a larger place is compared as pairs of blocks.
 BLOCK = 512
-#: Multiplier of the polynomial hash of shingles.
-_B = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of lines that are hashed at a time, so that arrays stay in the processor's cache.
+SLICE = 1 << 17
+#: Lines of one class that make it a hot one, as a share of all lines: there are at most 1 / HOT such classes.
+HOT = 0.001
+_NONE = np.uint32(0xFFFFFFFF)
+_B, _B2 = np.uint32(0x9E3779B1), np.uint32(0x9E3779B1 * 0x9E3779B1 & 0xFFFFFFFF)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The slots that an empty slot looks at, one row a step: a random order for each, so that one shingle that
 #: differs spoils no more of a short line's signature than its share.
 _ORDERS = np.random.Generator(np.random.PCG64(20240301)).permuted(np.tile(np.arange(SLOTS)[:, None], SLOTS), axis=0)
+_ODD_SPACE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
 
+def _canonical(text: bytes) -> list[bytes]:
+    """The lines of a text as they are compared."""
+    low = text.lower()
+    lines = low.split(b"\n")
+    if low[:1] == b" " or low[-1:] == b" " or any(x in low for x in _ODD_SPACE):
+        return [b" ".join(x.split()) for x in lines]
+    return lines
 
-def _canonical(lines: list[bytes]) -> list[bytes]:
-    return [b" ".join(x.lower().split()) for x in lines]
 
+def _code_points(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines, each closed by a line end, and where those stand; a line shorter than a shingle is padded with zeros."""
+    padded = [x if len(x) >= 4 * SHINGLE else x.decode("utf-8", "replace").ljust(SHINGLE, "\0").encode() for x in lines]
+    flat = b"\n".join(padded) + b"\n"
+    arr = np.frombuffer(flat, np.uint8).astype(np.uint32) if flat.isascii() else np.frombuffer(flat.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    return arr, np.flatnonzero(arr == 10)
 
-def _shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lines' shingles of SHINGLE code points, and the line of each; a shorter line is padded with zeros."""
-    padded = [x.decode("utf-8", "replace").ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    arr = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    n = len(arr) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+def _shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Each line's sorted distinct 64-bit hashes of shingles."""
+    arr, ends = _code_points(lines)
+    wide, n = arr.astype(np.uint64), len(arr) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
-        h = h * _B + arr[j : j + n] + np.uint64(1)
-    owner = np.repeat(np.arange(len(padded)), sizes)[:n]
-    left = np.cumsum(sizes)[owner] - np.arange(n)
-    inside = left >= SHINGLE
-    return mix(h[inside]), owner[inside]
+        h = h * _MIX + wide[j : j + n] + np.uint64(1)
+    h, out, start = mix(h), [], 0
+    for end in ends.tolist():
+        x = np.sort(h[start : end - SHINGLE + 1])
+        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+        start = end + 1
+    return out
 
 
 def _shingle_set(line: bytes) -> set[str]:
@@ -77,68 +99,83 @@ def _shingle_set(line: bytes) -> set[str]:
     return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
 
 
+def line_similarity(a: bytes, b: bytes) -> float:
+    """Exact Jaccard similarity of two canonical lines' shingles."""
+    s, t = _shingle_set(a), _shingle_set(b)
+    return len(s & t) / len(s | t)
+
+
 def signatures(lines: list[bytes]) -> np.ndarray:
     """(len(lines), SLOTS) smallest hash of each slot; an empty slot takes that of the first full one in its own order."""
-    h, owner = _shingles(lines)
-    none = np.iinfo(np.uint64).max
-    sig = np.full(len(lines) * SLOTS, none, np.uint64)
-    np.minimum.at(sig, owner * SLOTS + ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64), h)
+    arr, ends = _code_points(lines)
+    two = arr[:-1] * _B + arr[1:]
+    h = (two[:-3] * _B2 + two[2:-1]) * _B + arr[4:]  # a polynomial of five code points, finalised below
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    sizes = np.diff(ends, prepend=-1)
+    at = np.repeat(np.arange(len(lines)) * SLOTS, sizes)[: len(h)]
+    at += ((h >> np.uint32(16)) * np.uint32(SLOTS)) >> np.uint32(16)
+    for j in range(SHINGLE):  # shingles that reach over a line's end are none; those of the last end's own places don't exist
+        h[(ends if j == SHINGLE - 1 else ends[:-1]) - j] = _NONE
+    sig = np.full(len(lines) * SLOTS, _NONE)
+    np.minimum.at(sig, at, h)
     sig = sig.reshape(len(lines), SLOTS)
     out = sig.copy()
-    line, slot = np.nonzero(sig == none)
+    line, slot = np.nonzero(sig == _NONE)
     for order in _ORDERS:
         if not len(line):
             break
         found = sig[line, order[slot]]
-        full = found != none
+        full = found != _NONE
         out[line[full], slot[full]] = found[full]
         line, slot = line[~full], slot[~full]
-    return mix(out)
+    return out
 
 
 def _bands(lines: list[bytes]) -> np.ndarray:
-    sig = signatures(lines)
+    sig = signatures(lines).astype(np.uint64)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        out = mix(out * _B + sig[:, r * BANDS : (r + 1) * BANDS])
+        out = mix(out * _MIX + sig[:, r * BANDS : (r + 1) * BANDS])
     return out + np.arange(BANDS, dtype=np.uint64)
 
 
-def line_similarity(a: bytes, b: bytes) -> float:
-    """Exact Jaccard similarity of two canonical lines' shingles."""
-    s, t = _shingle_set(a), _shingle_set(b)
-    return len(s & t) / len(s | t)
-
-
-def _line_hash(lines: list[bytes]) -> list[int]:
+def _line_hash(lines: list[bytes]) -> np.ndarray:
+    """(len(lines), 2): 63 and 64 bits of each line's hash; zeros for an empty line."""
     import xxhash
 
-    return [(xxhash.xxh3_64_intdigest(x) >> 1) or 1 for x in lines]
+    out = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.uint64).reshape(-1, 2).copy()
+    out[:, 0] = out[:, 0] >> np.uint64(1) | np.uint64(1)
+    out[[not x for x in lines]] = 0
+    return out.view(np.int64)
 
 
 def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, row, line_no, cls) of each document's lines; cls 0 for blank ones."""
+    """Rows (id, row, line_no, cls, sure, n_solid) of each document's lines that aren't blank; n_solid is their number in it."""
     for batch in text_blocks(batches, "text"):
-        at, numbers, lines = [], [], []
-        for i, text in enumerate(text_bytes(batch.column(2))):
-            parts = text.split(b"\n")
-            at += [i] * len(parts)
-            numbers += range(len(parts))
-            lines += parts
-        lines = _canonical(lines)
-        hashes = [h if x else 0 for h, x in zip(_line_hash(lines), lines, strict=True)]
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())], names=["id", "row", "line_no", "cls"])
+        parts = [_canonical(t) for t in text_bytes(batch.column(2))]
+        sizes = np.array(list(map(len, parts)), np.int64)
+        lines = [x for p in parts for x in p]
+        at, hashes = np.repeat(np.arange(len(parts)), sizes), _line_hash(lines)
+        numbers = np.arange(len(lines)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        solid = hashes[:, 0] != 0
+        n_solid = np.bincount(at[solid], minlength=len(parts))[at]
+        take = pa.array(at[solid])
+        numeric = [pa.array(x[solid]) for x in (numbers.astype(np.int32), hashes[:, 0], hashes[:, 1], n_solid.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *numeric], names=["id", "row", "line_no", "cls", "sure", "n_solid"])
 
 
 def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cls, bands) of the lines of each text block, equal lines once."""
     for batch in text_blocks(batches, "text"):
-        lines = {x for text in text_bytes(batch.column(0)) for x in _canonical(text.split(b"\n"))} - {b""}
-        for part in _slices(sorted(lines), 1 << 20):
+        lines = list({x for text in text_bytes(batch.column(0)) for x in _canonical(text)} - {b""})
+        for part in _slices(lines, SLICE):
             flat = _bands(part).view(np.int64).reshape(-1)
             ends = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_line_hash(part), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(_line_hash(part)[:, 0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "bands"])
 
 
 def _slices(lines: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -155,118 +192,93 @@ def _slices(lines: list[bytes], limit: int) -> Iterator[list[bytes]]:
 def _wanted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cls, line) of canonical lines whose numbers in their text are asked for."""
     for batch in text_blocks(batches, "text"):
-        cls, out = [], []
+        out: list[bytes] = []
         for numbers, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-            lines = text.split(b"\n")
-            asked = _canonical([lines[i] for i in numbers])
-            cls += _line_hash(asked)
-            out += asked
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "line"])
-
-
-def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("u", "v", "line_u", "line_v")}
-        keep = [line_similarity(a, b) >= SIMILAR for a, b in zip(c["line_u"], c["line_v"], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c[n], keep, strict=True) if k], pa.int64()) for n in ("u", "v")], names=["u", "v"])
+            lines = _canonical(text)
+            out += [lines[i] for i in numbers]
+        yield pa.RecordBatch.from_arrays([pa.array(_line_hash(out)[:, 0]), pa.array(out, pa.binary())], names=["cls", "line"])
+
+
+def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) enough to join what links in each place, rows (place, low, high, block, cls, line) that come sorted by the first three."""
+    held: list[list[tuple]] = []
+
+    def search() -> pa.RecordBatch:
+        sets = iter(_shingle_sets([line for rows in held for *_, line in rows]))
+        links = []
+        for rows in held:
+            place = Place([r[0] for r in rows], [r[1] for r in rows], [next(sets) for _ in rows], PERCENT)
+            if place.hubs(HUBS):
+                place.rest()
+            links += place.links
+        held.clear()
+        return link_batch(links)
+
+    # the lines of many small places are hashed together
+    for rows in grouped(batches, ["place", "low", "high"], ["block", "cls", "line"]):
+        held.append(rows)
+        if sum(len(r[2]) for rows in held[-1:] for r in rows) > SLICE or len(held) >= 256:
+            yield search()
+    if held:
+        yield search()
 
 
 def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of (id, row, text): its lines (id, row, line_no, cls), and (cls, component) of classes that are linked with others."""
-    lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long"))
+    """Of (id, row, text): its lines (id, row, line_no, cls, sure, n_solid), and (cls, sure, component) of classes that are linked with others."""
+    lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long, sure long, n_solid int"))
     bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
-    place = Window.partitionBy("band")
-    meet = bands.withColumns({"low": F.min("cls").over(place), "high": F.max("cls").over(place)}).where("low < high").select("band", "cls").distinct()
-    meet = scratch.keep(merge_places(meet, "band"))
-    nodes = scratch.keep(meet.select("cls").distinct())
+    places = scratch.keep(meeting_places(bands, "band"))
+    nodes = places.select("cls").distinct()
 
     # the lines of classes that meet others, each from its first document
-    first = lines.join(scratch.small(nodes), "cls").groupBy("cls").agg(F.min(F.struct("row", "line_no")).alias("at"))
-    asked = scratch.keep(first.groupBy("at.row").agg(F.collect_list("at.line_no").alias("numbers")))  # lines of one document at most
-    once = docs.select("row", "text").join(scratch.small(asked), "row").select("numbers", "text")
-    texts = scratch.keep(once.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]))
-
-    edges, held, tried = None, meet, None
-    for _ in range(STARS):
-        order = Window.partitionBy("band").orderBy("cls")
-        hub = held.withColumn("u", F.min("cls").over(place)).where("cls > u").select("u", F.col("cls").alias("v"))
-        near = held.withColumn("u", F.lag("cls").over(order)).where("u is not null").select("u", F.col("cls").alias("v"))
-        pairs = hub.unionByName(near).distinct()
-        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        lined = pairs.join(texts.select(F.col("cls").alias("u"), F.col("line").alias("line_u")), "u").join(texts.select(F.col("cls").alias("v"), F.col("line").alias("line_v")), "v")
-        links = scratch.keep(lined.mapInArrow(_verify_pass, "u long, v long"))
-        edges = links if edges is None else edges.unionByName(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        held = _apart(held, nodes, scratch.keep(connected_components(edges, scratch)))
-        held = scratch.keep(held.where("cls <> hub").select("band", "cls", "comp"))  # the first has met all others
-    sized = texts.select("cls", F.length("line").alias("size"))
-    blocks = block_pairs(held.join(sized, "cls"), "band", [F.col("size"), F.col("cls")], BLOCK).join(texts, "cls")
-    at = ["band", "low", "high"]
-    rest = blocks.repartition(*at).sortWithinPartitions(*at, "size", "cls").select(*at, "block", "cls", "comp", "line")
-    edges = edges.unionByName(scratch.keep(rest.mapInArrow(_rest_pass, "u long, v long")))
-    return lines, scratch.keep(connected_components(edges, scratch)).withColumnRenamed("id", "cls")
+    first = lines.join(nodes, "cls").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no", "sure")).alias("at"))
+    first = scratch.keep(first.select("cls", "at.*"))
+    asked = first.groupBy("id", "row").agg(F.collect_list("line_no").alias("numbers"))  # lines of one document at most
+    texts = docs.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.row") == F.col("a.row"))).select("numbers", "text")
+    texts = scratch.keep(texts.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]))
 
-
-def _apart(held: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Of places where several components meet: their classes, with comp and hub, the place's first class."""
-    place = Window.partitionBy("band")
-    labels = nodes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-    state = held.select("band", "cls").join(labels, "cls").withColumns({"hub": F.min("cls").over(place), "low": F.min("comp").over(place), "high": F.max("comp").over(place)})
-    return state.where("low < high")
+    sized = texts.select("cls", F.length("line").alias("size"))
+    blocks = scratch.keep(block_pairs(places.join(sized, "cls"), "place", [F.col("size"), F.col("cls")], BLOCK).select("place", "low", "high", "block", "cls"))
+    at = ["place", "low", "high"]
+    whole = blocks.join(texts, "cls").repartition(*at).sortWithinPartitions(*at).select(*at, "block", "cls", "line")
+    edges = scratch.keep(whole.mapInArrow(_place_pass, "u long, v long"))
+    found = connected_components(edges, scratch).withColumnRenamed("id", "cls")
+    return lines, scratch.keep(found.join(first.select("cls", "sure"), "cls").select("cls", "sure", "component"))
 
 
-def _rest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among what is left of each place, rows (band, low, high, block, cls, comp, line) sorted by the first three and length.
+def _where_first(lines: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """`lines` with first, the place of their component's first line; null for lines that none is like.
 
-    Lines are compared with those of other components that are long enough
-    to be similar, within a block or, if low and high differ, between the two;
-    what links is one component from then on.
+    Classes that hold more than HOT of all lines, at most 1 / HOT, are brought
+    to the lines by a broadcast; for no other is one task's share large.
     """
-    place, held, parent = None, [], {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        u, v = [], []
-        c = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "low", "high", "block", "cls", "comp", "line")]
-        for band, low, high, block, cls, comp, line in zip(*c, strict=True):
-            if (band, low, high) != place:
-                place, held, parent = (band, low, high), [], {}
-            grams = _shingle_set(line)
-            for its_block, other, its_comp, its in held:
-                if (low == high or block != its_block) and root(comp) != root(its_comp) and min(len(its), len(grams)) >= SIMILAR * max(len(its), len(grams)):
-                    both = len(grams & its)
-                    if both >= SIMILAR * (len(grams) + len(its) - both):
-                        parent[root(comp)] = root(its_comp)
-                        u.append(cls)
-                        v.append(other)
-            held.append((block, cls, comp, grams))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    at = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no")
+    classes = lines.groupBy("cls", "sure").agg(F.count("*").alias("n"), F.min(at).alias("first")).join(found, ["cls", "sure"], "left")
+    classes = scratch.keep(classes.where("n > 1 or component is not null"))
+    components = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    led = scratch.keep(classes.join(components, "component", "left").select("cls", "sure", "n", F.coalesce("least", "first").alias("first")))
+    cut = F.lit(max(1, int(HOT * lines.count())))
+    known = lines.join(F.broadcast(led.where(F.col("n") > cut).select("cls", "sure", "first")), ["cls", "sure"], "left")
+    others = known.where("first is null").drop("first").join(led.where(F.col("n") <= cut).select("cls", "sure", "first"), ["cls", "sure"], "left")
+    return known.where("first is not null").unionByName(others)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `text` less its duplicate lines, and n_lines, n_kept (of lines that aren't blank)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    named = docs.drop("n_lines", "n_kept").withColumn("row_", F.xxhash64(F.col(key), F.col(text)))
-    lines, found = line_components(named.select(F.col(key).cast("long").alias("id"), F.col("row_").alias("row"), F.col(text).alias("text")), scratch)
-    solid = lines.where("cls <> 0").join(found, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    at = F.struct(F.col("id").isNull(), "id", "row", "line_no")
-    firsts = solid.groupBy("comp").agg(F.min(at).alias("first"))
-    gone = solid.join(firsts, "comp").where(~F.col("first").eqNullSafe(F.struct(F.col("id").isNull(), "id", "row", "line_no")))
-    cut = scratch.keep(gone.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line_no").alias("gone")))  # lines of one document at most
-    out = named.join(scratch.small(cut), "row_", "left")
-    parts = F.split(F.col(text), "\n")
-    numbers = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.filter(parts, lambda x, i: ~F.array_contains(numbers, i))
-    solid_lines = lambda xs: F.size(F.filter(xs, lambda x: F.regexp_like(x, F.lit(r"[^\x09-\x0D\x20]"))))
-    kept = F.when(F.size(numbers) == 0, F.col(text)).otherwise(F.array_join(left, "\n"))
-    counted = out.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNull(), 0).otherwise(solid_lines(parts)), F.lit(0))).withColumn("n_kept", F.col("n_lines") - F.size(numbers))
-    return counted.withColumn(text, kept).select(*docs.columns, "n_lines", "n_kept")
+    named = docs.drop("n_lines", "n_kept").withColumns({"id_": F.col(key).cast("long"), "row_": F.xxhash64(text)})
+    lines, found = line_components(named.select(F.col("id_").alias("id"), F.col("row_").alias("row"), F.col(text).alias("text")), scratch)
+    mine = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no")
+    gone = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(mine), F.col("line_no"))
+    cut = _where_first(lines, found, scratch).groupBy("id", "row").agg(F.max("n_solid").alias("n_solid_"), F.collect_set(gone).alias("gone_"))  # lines of one document at most
+    cut = scratch.keep(cut.withColumnsRenamed({"id": "of_", "row": "text_"}))
+    out = named.join(cut, F.col("id_").eqNullSafe(F.col("of_")) & (F.col("row_") == F.col("text_")), "left")
+    less = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_")), lambda i: F.get(parts, i)), "\n")
+    fewer = F.element_at(F.transform(F.array(F.split(F.col(text), "\n")), less), 1)  # a lambda's argument is computed once
+    n_lines, n_gone = F.coalesce("n_solid_", F.lit(0)), F.coalesce(F.size("gone_"), F.lit(0))
+    counted = out.withColumns({"n_lines": n_lines, "n_kept": F.when(F.col("n_solid_").isNull(), 0).otherwise(n_lines - n_gone)})
+    return counted.withColumn(text, F.when(F.size("gone_") > 0, fewer).otherwise(F.col(text))).select(*docs.columns, "n_lines", "n_kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimweave.llm import ann, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, packing, suffixes, url_filters
-from dimweave.llm.common import Scratch, block_pairs, merge_places
+from dimweave.llm.common import Scratch, block_pairs, meeting_places
 from dimweave.llm.components import connected_components
+from dimweave.llm.places import Place
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, cls long, row string"
 
@@ -91,12 +92,28 @@ def test_block_pairs_meet_all_rows_of_a_place(spark):
     assert max(map(len, groups.values())) <= 6
 
 
-def test_merged_places_keep_all_meetings(spark):
-    places = [(1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (3, 7), (4, 5), (4, 6), (4, 7)]
-    got = defaultdict(set)
-    for r in merge_places(spark.createDataFrame(places, "key long, cls long"), "key").collect():
-        got[r["key"]].add(r["cls"])
-    assert sorted(map(sorted, got.values())) == [[5, 6], [5, 6, 7], [5, 7]]
+def test_meeting_places_keep_all_meetings(spark):
+    keys = [(1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (3, 7), (4, 6), (4, 7), (4, 7), (5, 8), (5, 8)]
+    got = sorted(map(tuple, meeting_places(spark.createDataFrame(keys, "key long, cls long"), "key").collect()))
+    assert got == [(5, 5), (5, 6), (5, 7), (6, 6), (6, 7)]
+
+
+def test_places_find_all_components():
+    r = np.random.default_rng(5)
+    base = [r.integers(0, (1 << 64) - 1, 80, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate((b[: 80 - e], r.integers(0, (1 << 64) - 1, e, dtype=np.uint64)))) for b in base for e in (0, 0, 4, 9, 14, 30, 50)]
+    for hubs in (0, 1, 9):
+        place = Place([0] * len(sets), list(range(len(sets))), sets, 75)
+        place.hubs(hubs)
+        place.rest()
+        at = {int(d): i for i, d in enumerate(place.ids)}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 75 * (len(a) + len(b) - both):
+                    assert place.root(at[i]) == place.root(at[j])
+                elif i // 7 != j // 7:
+                    assert place.root(at[i]) != place.root(at[j])
 
 
 def test_components(spark):
@@ -134,7 +151,7 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
         changed = False
         for a in canonical:
             for b in canonical:
-                if line_dedup.line_similarity(a, b) >= line_dedup.SIMILAR and group[a] != group[b]:
+                if 100 * line_dedup.line_similarity(a, b) >= line_dedup.PERCENT and group[a] != group[b]:
                     group[a] = group[b] = min(group[a], group[b])
                     changed = True
     for d in sorted(kept):
@@ -157,7 +174,7 @@ def test_short_similar_lines_share_a_band():
     for size in (12, 14, 17, 20, 25, 30):
         made = [bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz ", k=size)) for _ in range(1000)]
         pairs = [(a, a + bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz ", k=1 + size // 14))) for a in made]
-        similar = [p for p in pairs if line_dedup.line_similarity(*p) >= line_dedup.SIMILAR]
+        similar = [p for p in pairs if 100 * line_dedup.line_similarity(*p) >= line_dedup.PERCENT]
         assert len(similar) > 900
         a, b = (line_dedup._bands(list(x)) for x in zip(*similar, strict=True))
         assert (a == b).any(axis=1).mean() > 0.995
