@@ -107,16 +107,16 @@ def bounded_sample(rows: DataFrame, order: Column, size: int, count: int) -> Dat
     return near.orderBy(F.pmod(order, F.lit(1 << 30)), order).limit(size)
 
 
-def meeting_places(rows: DataFrame, key: str) -> DataFrame:
+def meeting_places(scratch: Scratch, rows: DataFrame, key: str) -> DataFrame:
     """Distinct rows (place, cls): the classes of `rows` (key, cls) that share a key with another class.
 
     A place is named by the smallest class that has its key, and keys of one
     smallest class are one place: so any two classes that share a key share a
     place, and a class of k keys is in k places at most, mostly in very few.
     """
-    here = Window.partitionBy(key)
-    low, high = F.min("cls").over(here), F.max("cls").over(here)
-    return rows.select(low.alias("place"), high.alias("high"), "cls").where("place < high").select("place", "cls").distinct()
+    low = F.min("cls").over(Window.partitionBy(key))
+    members = scratch.keep(rows.select(low.alias("place"), "cls").where("place < cls").distinct())
+    return members.unionByName(members.select("place", F.col("place").alias("cls")).distinct())
 
 
 def block_pairs(rows: DataFrame, place: str, order: list[Column], size: int, weight: Column | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ WORDS = 5
 PERCENT = 75
 #: Share of all shingles, by their hashes, that are counted to find classes without links; above a quarter, as a
 #: class is found once more than a quarter of its shingles are known to be its own.  Any share gives the same result.
-SAMPLED = 0.4
+SAMPLED = 0.35
 _BELOW = np.uint64(int(SAMPLED * (1 << 53)) << 11)
 #: A shingle that this many sets of one batch hold counts towards the common ones.
 LOCAL_COMMON = 4
@@ -98,16 +98,22 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, cls, keys) of texts; keys are the shingles below the bound, null for a set that the task has had."""
-    seen: set[int] = set()
+    """Rows (id, n, cls) of texts."""
     for batch in text_blocks(batches, "text"):
         sets = shingle_sets(text_bytes(batch.column(1)), WORDS)
-        classes = [_class_of(s) for s in sets]
-        keys = [None if c in seen or seen.add(c) or not c else s[: np.searchsorted(s, _BELOW)] for c, s in zip(classes, sets, strict=True)]
-        ends = np.cumsum([0, *(0 if k is None else len(k) for k in keys)]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.uint64), *(k for k in keys if k is not None)]).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([k is None for k in keys]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], names=["id", "n", "cls", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())], names=["id", "n", "cls"])
+
+
+def _sample_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, keys): the shingles below the bound, of each set once a task."""
+    seen: set[int] = set()
+    for batch in text_blocks(batches, "text"):
+        sets = {c: s for s in shingle_sets(text_bytes(batch.column(0)), WORDS) if (c := _class_of(s)) and c not in seen}
+        seen.update(sets)
+        keys = [s[: np.searchsorted(s, _BELOW)] for s in sets.values()]
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "keys"])
 
 
 def _elements(column: pa.Array) -> list[np.ndarray]:
@@ -271,7 +277,7 @@ class _SetPlace(Place):
             comps = np.array([self.root(i) for i in part], np.int64)
             trees.append(SignatureTree(part, comps, self.sizes[part], [_bits(_bitmap(self.sets[i])) for i in part]))
         for i, j in tree_pairs(trees[0], trees[-1]):
-            if self.root(i) != self.root(j) and self.near(i, [j])[0]:
+            if self.root(i) != self.root(j) and len(self.near(i, np.array([j]))):
                 self.link(i, j)
 
 
@@ -293,14 +299,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    first = scratch.keep(texts.mapInArrow(_sets_pass, "id long, n long, cls long, keys array<long>"))
+    rows = scratch.keep(texts.mapInArrow(_sets_pass, "id long, n long, cls long"))
     # how many of the counted shingles each class alone holds; a common shingle is brought to a row a task before the shuffle
-    holders = first.select(F.explode("keys").alias("key"), "cls").groupBy("key").agg(F.min("cls").alias("cls"), F.max("cls").alias("high"))
+    # (texts are read again for it: kept shingles would take as much room as the texts)
+    sampled = texts.select("text").mapInArrow(_sample_pass, "cls long, keys array<long>")
+    holders = sampled.select(F.explode("keys").alias("key"), "cls").groupBy("key").agg(F.min("cls").alias("cls"), F.max("cls").alias("high"))
     alone = holders.where("cls = high").groupBy("cls").agg(F.count("*").alias("alone"))
-    classes = first.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("id").alias("id"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.min("id").alias("id"))
     picked = scratch.keep(classes.join(alone, "cls", "left").where(F.coalesce("alone", F.lit(0)) <= may_miss_sql("n")).select("cls", "id"))
-    rows = scratch.keep(first.select("id", "n", "cls"))
-    scratch.drop(first)
 
     # whole sets of the classes that are left, from one document of each
     source = texts.join(scratch.small(picked).where("id is not null"), "id").select("cls", "text")
@@ -323,7 +329,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # at the first shingle that x shares with y, x has n - pos at most in common with it: so y's size is at most this
     largest = F.floor((F.lit(100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
     early = routed.withColumn("least", F.min("n").over(Window.partitionBy("key"))).where(largest >= F.col("least"))
-    places = meeting_places(early, "key").join(sets.select("cls", "n"), "cls")
+    places = meeting_places(scratch, early, "key").join(sets.select("cls", "n"), "cls")
     weight = F.greatest(F.lit(TREE_BYTES // TREE), F.col("n") * 2 * BITS)
     blocks = block_pairs(places, "place", [F.col("n"), F.col("cls")], TREE * (TREE_BYTES // TREE), weight)
     blocks = scratch.keep(blocks.select("place", "low", "high", "block", "cls"))

@@ -51,6 +51,8 @@ HUBS = 8
 BLOCK = 512
 #: Bytes of lines that are hashed at a time, so that arrays stay in the processor's cache.
 SLICE = 1 << 17
+#: Classes that a task remembers having signed.
+SEEN = 500_000
 #: Lines of one class that make it a hot one, as a share of all lines: there are at most 1 / HOT such classes.
 HOT = 0.001
 _NONE = np.uint32(0xFFFFFFFF)
@@ -169,13 +171,19 @@ def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, bands) of the lines of each text block, equal lines once."""
+    """Rows (cls, bands) of the lines of each text block, equal lines once, and mostly once a task."""
+    seen: set[int] = set()
     for batch in text_blocks(batches, "text"):
         lines = list({x for text in text_bytes(batch.column(0)) for x in _canonical(text)} - {b""})
-        for part in _slices(lines, SLICE):
+        classes = _line_hash(lines)[:, 0].tolist()
+        new = {c: x for c, x in zip(classes, lines, strict=True) if c not in seen}
+        seen = seen | new.keys() if len(seen) < SEEN else set(new)
+        ids = np.array(list(new), np.int64)
+        for part in _slices(list(new.values()), SLICE):
             flat = _bands(part).view(np.int64).reshape(-1)
             ends = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_line_hash(part)[:, 0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "bands"])
+            mine, ids = ids[: len(part)], ids[len(part) :]
+            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "bands"])
 
 
 def _slices(lines: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -227,7 +235,7 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     """Of (id, row, text): its lines (id, row, line_no, cls, sure, n_solid), and (cls, sure, component) of classes that are linked with others."""
     lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long, sure long, n_solid int"))
     bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
-    places = scratch.keep(meeting_places(bands, "band"))
+    places = meeting_places(scratch, bands, "band")
     nodes = places.select("cls").distinct()
 
     # the lines of classes that meet others, each from its first document

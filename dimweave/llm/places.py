@@ -53,36 +53,45 @@ class Place:
             self.parent[b] = a
             self.links.append((int(self.ids[i]), int(self.ids[j])))
 
-    def near(self, i: int, others: list[int]) -> np.ndarray:
-        """Which of `others` link with set i."""
-        own, flat, sizes = self.sets[i], np.concatenate([self.sets[j] for j in others]), self.sizes[others]
-        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that link with set i."""
+        sizes, own = self.sizes[others], self.sets[i]
+        fits = 100 * np.minimum(sizes, len(own)) >= self.percent * np.maximum(sizes, len(own))
+        if not fits.all():
+            others, sizes = others[fits], sizes[fits]
+        if not len(others):
+            return others
+        flat = np.concatenate([self.sets[j] for j in others])
+        hit = own[np.minimum(own.searchsorted(flat), len(own) - 1)] == flat
         both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-        return 100 * both >= self.percent * (len(own) + sizes - both)
+        return others[100 * both >= self.percent * (len(own) + sizes - both)]
 
     def hubs(self, most: int) -> bool:
-        """Compares up to `most` hubs with what no hub has linked yet; whether several components are left."""
-        left = list(range(len(self.ids)))
-        for _ in range(most):
+        """Compares up to `most` hubs with what no hub has linked yet; whether several components are left to compare."""
+        n = len(self.ids)
+        # the round that made a set a hub, and the last one that it was compared in
+        self.hub, self.until = np.full(n, n + 1), np.full(n, n)
+        left, here = np.arange(n), np.ones(n, bool)
+        for k in range(most):
             if len(left) < 2:
                 break
-            hub = left[len(left) // 2]
-            others = [i for i in left if i != hub]
-            near = self.near(hub, others).tolist()
-            for i, k in zip(others, near, strict=True):
-                if k:
-                    self.link(hub, i)
-            left = [i for i, k in zip(others, near, strict=True) if not k]
-        return any(self.root(i) != self.root(0) for i in range(len(self.ids)))
+            hub = int(left[len(left) // 2])
+            here[hub] = False
+            self.hub[hub] = self.until[hub] = k
+            near = self.near(hub, left[here[left]])
+            for i in near.tolist():
+                self.link(hub, i)
+            here[near], self.until[near] = False, k
+            left = left[here[left]]
+        if len(left) < 2 and len(self.links) in (0, n - 1):
+            return False  # all linked, or all compared
+        return any(self.root(i) != self.root(0) for i in range(n))
 
     def rest(self) -> None:
-        """Compares what is left: all that is outside the largest component with all other components, where sizes allow a link."""
+        """Compares all outside the largest component with all other components, but for what a hub was compared with."""
         roots = np.array([self.root(i) for i in range(len(self.ids))])
         main = np.bincount(roots).argmax()
         for i in np.flatnonzero(roots != main).tolist():
-            a, b = np.searchsorted(100 * self.sizes, [self.percent * self.sizes[i], 1 + 10000 * self.sizes[i] // self.percent])
-            others = [j for j in range(a, b) if self.root(j) != self.root(i)]
-            if others:
-                for j, k in zip(others, self.near(i, others).tolist(), strict=True):
-                    if k:
-                        self.link(i, j)
+            others = np.flatnonzero((self.hub > self.until[i]) & (self.until < self.hub[i]) & (roots != roots[i]))
+            for j in self.near(i, others).tolist():
+                self.link(i, j)
