@@ -75,7 +75,7 @@ def if_null(col: Column, default: Any) -> Column:
 
 def is_integer(col: Column) -> Column:
     """Whether a text is a whole number of the 32-bit range."""
-    return F.coalesce(col.rlike(r"\A[-+]?[0-9]+\z") & col.try_cast("int").isNotNull(), F.lit(False))
+    return F.coalesce(col.rlike(r"\A-?[0-9]+\z") & col.try_cast("int").isNotNull(), F.lit(False))
 
 
 # --- dates --------------------------------------------------------------------
@@ -198,7 +198,8 @@ def printable_char(char: Column) -> Column:
 
 def random_text(n: int, seed: int | None = None) -> Column:
     """n of ``A-Z0-9`` at random."""
-    return F.translate(F.substring(F.concat(*(F.upper(F.randstr(F.lit(32), F.lit(seed + i)) if seed is not None else F.randstr(F.lit(32))) for i in range(-(-n // 32)))), 1, n), "", "")
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    return F.concat(F.lit(""), *(F.substring(letters, (F.floor(F.rand(None if seed is None else seed + i) * 36) + 1).cast("int"), F.lit(1)) for i in range(n)))
 
 
 def type_name(col: Column) -> Column:

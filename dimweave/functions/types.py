@@ -69,7 +69,7 @@ def coerce(col: Column, kind: DataType, source: T.DataType | None = None) -> Col
         col = col.cast("string")
     text = F.nullif(col, F.lit(""))
     if kind in _WHOLE:
-        return F.when(text.rlike(r"\A[-+]?[0-9]+\z"), text.try_cast(target))
+        return F.when(text.rlike(r"\A-?[0-9]+\z"), text.try_cast(target))
     if kind in _REAL:
         return F.trim(text).try_cast(target)
     if kind == DataType.BOOLEAN:

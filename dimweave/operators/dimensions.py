@@ -63,6 +63,7 @@ def versions_by_key(
     order_by: list[str] | None = None,
     track: tuple[str, ...] = (),
     lenient_dates: bool = False,
+    last_seen: str | None = None,
 ) -> DataFrame:
     """All versions of each key, numbered from 1, each valid until the next.
 
@@ -71,7 +72,9 @@ def versions_by_key(
     `load_date`.  A row whose date isn't after every kept one's is late, and
     dropped; so is a row with a date that can't be read.  Every kept row is a
     version, even with the same attributes; with `track` only rows in which one
-    of these columns differs from the kept row before are.
+    of these columns differs from the kept row before are.  Rows that change
+    nothing still make later ones late: `last_seen` names a column in which a
+    version that was built before has the last such date, and gets it here.
     """
     kind = df.schema[valid_from].dataType
     order = [q(c) for c in (order_by or [sid])]
@@ -81,13 +84,21 @@ def versions_by_key(
     missing = F.when(F.row_number().over(w) == 1, F.lit(FIRST_DAY)).otherwise(F.lit(load_date).cast("date"))
     dated = df.where(has_key(keys)).withColumn("day_", F.when(blank, missing).otherwise(as_date(given, kind, lenient_dates)))
     # kept dates rise strictly, and a dropped one never exceeds the last kept: so that is the greatest so far
-    greatest = F.max("day_").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.greatest("day_", q(last_seen).cast("date")) if last_seen else F.col("day_")
+    greatest = F.max("seen_").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    dated = dated.withColumn("seen_", seen)
     kept = dated.withColumn("last_", greatest).where("day_ is not null and (last_ is null or day_ > last_)")
     if track:
         changed = reduce(lambda a, b: a | b, (~q(c).eqNullSafe(F.lag(q(c)).over(w)) for c in track))
-        kept = kept.withColumn("new_", (F.row_number().over(w) == 1) | changed).where("new_").drop("new_")
+        kept = kept.withColumn("new_", (F.row_number().over(w) == 1) | changed)
+        if last_seen:
+            kept = kept.withColumn("nth_", F.sum(F.col("new_").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            kept = kept.withColumn("seen_", F.max("seen_").over(Window.partitionBy(*map(q, keys), "nth_"))).drop("nth_")
+        kept = kept.where("new_").drop("new_")
+    if last_seen:
+        kept = kept.withColumn(last_seen, F.col("seen_"))
     out = kept.withColumns({valid_from: F.col("day_"), version: F.row_number().over(w), valid_to: F.lead("day_").over(w)})
-    return out.drop("day_", "last_")
+    return out.drop("day_", "last_", "seen_")
 
 
 def unreadable_dates(df: DataFrame, valid_from: str, lenient_dates: bool = False) -> DataFrame:
@@ -101,8 +112,13 @@ def build_dimension(rows: DataFrame, target: TargetSpec, load_date: dt.date | No
 
     Existing rows come in with their own surrogate keys and dates; versions
     and valid-to are worked out anew, so loading in parts gives what loading at
-    once gives.
+    once gives, if surrogate keys rise from part to part.  (In an overwritten
+    dimension that keeps only the least key, a later part otherwise counts as
+    newer than all rows before.)  A tracked dimension needs a last-seen field
+    for it; without one, adding to existing rows is an error.
     """
+    if target.track and existing is not None and not target.first(Role.SCD_LASTSEEN):
+        raise ValueError(f"{target.name} tracks changes: without a last-seen field it can't be loaded in parts")
     keys, sid = list(target.named(Role.LOOKUP)), target.first(Role.PRI)
     if existing is not None:
         rows = align(existing, target).unionByName(align(rows, target))
@@ -111,7 +127,7 @@ def build_dimension(rows: DataFrame, target: TargetSpec, load_date: dt.date | No
         out = latest_by_key(rows, keys, sid, other)
     else:
         start, end, version = (target.first(r) for r in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO, Role.SCD_VERSION))
-        out = versions_by_key(rows, keys, sid, start, end or "validto_", version or "version_", load_date, order_by, target.track, lenient_dates)
+        out = versions_by_key(rows, keys, sid, start, end or "validto_", version or "version_", load_date, order_by, target.track, lenient_dates, target.first(Role.SCD_LASTSEEN))
     return out.select(*(q(f.name).cast(f.struct_field().dataType).alias(f.name) for f in target.fields))
 
 
@@ -120,6 +136,6 @@ def align(df: DataFrame, target: TargetSpec) -> DataFrame:
     out = []
     for f in target.fields:
         kind = df.schema[f.name].dataType
-        dated = f.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO)
+        dated = f.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO, Role.SCD_LASTSEEN)
         out.append((as_date(q(f.name), kind) if dated else q(f.name)).alias(f.name))
     return df.select(*out)

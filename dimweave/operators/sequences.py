@@ -1,10 +1,12 @@
 """Surrogate-key sequences: dense numbers, and a table of what comes next.
 
-Numbers are given without a global sort: each partition's rows are counted,
-the counts are summed up to every partition's first number, and rows take
-their place in it.  A sequence's next number is stored only after the data
-that used its numbers is, so a failed load never gives a number away twice
-in published data.
+Numbers are given without gathering rows in one task: each partition's rows are
+counted, the counts are summed up to every partition's first number, and rows
+take their place in it.  Rows are written once together with their partition
+and place, as a frame that is computed twice need not come out in the same
+partitions.  A sequence's next number is stored only after the data that used
+its numbers is, so a failed load never gives a number away twice in published
+data.
 """
 
 from __future__ import annotations
@@ -13,35 +15,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.publish import exists, publish, recover
-from .transforms import q
+from ..plans.scratch import stored
+from .transforms import Transform, q
 
 
 def dense_ids(df: DataFrame, name: str = "sid", start: int = 0) -> DataFrame:
-    """Numbers start, start + 1, ... in the order of the frame's partitions.
-
-    The frame is read twice, and has to come out in the same partitions: give
-    a stored table, or use `numbered_by` for a stated order.
-    """
-    marked = df.withColumn("place_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("place_", 33))
-    counts = marked.groupBy("part_").agg(F.count("*").alias("rows_"))
+    """Numbers start, start + 1, ... in the order of the frame's partitions; `df` is computed and stored once."""
+    at = F.monotonically_increasing_id()  # the partition in the high bits, the place in it in the low 33
+    kept = stored(df.drop(name).withColumns({"part_": F.shiftright(at, 33), "place_": at.bitwiseAND((1 << 33) - 1)}))
+    counts = kept.groupBy("part_").agg(F.count("*").alias("rows_"))
     # one row for each partition
     first = counts.withColumn("first_", F.sum("rows_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows_")).drop("rows_")
-    numbered = marked.join(F.broadcast(first), "part_")
-    return numbered.withColumn(name, (F.col("first_") + F.col("place_").bitwiseAND((1 << 33) - 1) + start).cast("long")).drop("place_", "part_", "first_")
+    return kept.join(F.broadcast(first), "part_").withColumn(name, (F.col("first_") + F.col("place_") + start).cast("long")).drop("part_", "place_", "first_")
 
 
 def numbered_by(df: DataFrame, *order: str, name: str = "sid", start: int = 0) -> DataFrame:
-    """Numbers in the order of `order`, without gathering rows in one task.
-
-    Rows are range-partitioned, numbered within ranges, and ranges offset by
-    the counts before them.
-    """
+    """Numbers in the order of `order`: rows are partitioned by ranges and sorted in them, one shuffle."""
     keys = [q(c) for c in order]
-    ranged = df.repartitionByRange(*keys).withColumn("part_", F.spark_partition_id())
-    counts = ranged.groupBy("part_").agg(F.count("*").alias("rows_"))
-    first = counts.withColumn("first_", F.sum("rows_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows_")).drop("rows_")
-    within = ranged.withColumn("place_", F.row_number().over(Window.partitionBy("part_").orderBy(*keys)))
-    return within.join(F.broadcast(first), "part_").withColumn(name, (F.col("first_") + F.col("place_") - 1 + start).cast("long")).drop("place_", "part_", "first_")
+    return dense_ids(df.repartitionByRange(*keys).sortWithinPartitions(*keys), name, start)
+
+
+def add_sequence(name: str, *order: str, start: int = 0) -> Transform:
+    """A field of dense numbers from `start` on: in the order of `order`, or that of the frame's partitions."""
+    return lambda df: numbered_by(df, *order, name=name, start=start) if order else dense_ids(df, name, start)
 
 
 class SequenceStore:

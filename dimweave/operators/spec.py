@@ -17,6 +17,7 @@ class Role(Enum):
     SCD_VALIDFROM = "valid from"
     SCD_VALIDTO = "valid to"
     SCD_VERSION = "version"
+    SCD_LASTSEEN = "last seen"
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class FieldSpec:
 
     def struct_field(self) -> T.StructField:
         """The Spark field; the role travels in its metadata."""
-        kind = T.DateType() if self.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO) else spark_type(self.type)
+        kind = T.DateType() if self.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO, Role.SCD_LASTSEEN) else spark_type(self.type)
         return T.StructField(self.name, kind, True, {"role": self.role.name})
 
 
@@ -42,7 +43,8 @@ class TargetSpec:
     """A table to load: ordered fields with roles.
 
     Dimensions need a surrogate key and a business key, of one or more fields;
-    versioned ones a valid-from field, and may have valid-to and version.
+    versioned ones a valid-from field, and may have valid-to and version.  With
+    `track`, a last-seen field keeps the date of the last row that changed nothing.
     """
 
     name: str

@@ -152,7 +152,7 @@ def project_to(target: TargetSpec) -> Transform:
             have = column_name(df, f.name)
             if have is None:
                 out.append(F.lit(None).cast(f.struct_field().dataType).alias(f.name))
-            elif f.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO):
+            elif f.role in (Role.SCD_VALIDFROM, Role.SCD_VALIDTO, Role.SCD_LASTSEEN):
                 out.append(q(have).alias(f.name))
             else:
                 out.append(coerce(q(have), f.type, df.schema[have].dataType).alias(f.name, metadata={"role": f.role.name}))

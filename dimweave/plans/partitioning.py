@@ -27,9 +27,10 @@ def write_parts(df: DataFrame, path: str, parts: int, *keys: str, format: str =
     df.withColumn("part", part_of(parts, *keys)).repartition(parts, "part").sortWithinPartitions("part", *keys).write.partitionBy("part").format(format).save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite") -> None:
-    """A bucketed, sorted table: joins and windows by the key need no shuffle."""
-    df.repartition(buckets, *map(q, keys)).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite", path: str | None = None) -> None:
+    """A bucketed, sorted table, in the warehouse or at `path`: joins and windows by the key need no shuffle."""
+    writer = df.repartition(buckets, *map(q, keys)).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def merge_bucketed(old: DataFrame, new: DataFrame, target: TargetSpec, load_date: dt.date | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dimensions import build_dimension, without_key
 from ..operators.lookups import Lookup
+from ..operators.sequences import SequenceStore, add_sequence
 from ..operators.spec import Role, TargetKind, TargetSpec
 from ..operators.transforms import project_to
 from .publish import exists, publish, recover
@@ -27,19 +28,31 @@ Source = Callable[[SparkSession], DataFrame] | DataFrame
 Step = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """A field that draws numbers from a sequence, in the order of some columns or else of the source's partitions."""
+
+    field: str
+    order: tuple[str, ...] = ()
+    sequence: str | None = None  # the target's name if not given
+
+
 @dataclass(frozen=True)
 class Transfer:
-    """source: a frame or what makes it; steps: a function of the dimensions loaded so far; target; the names of dimensions it looks up."""
+    """source: a frame or what makes it; steps: a function of the dimensions loaded so far; target; the names of dimensions it looks up; a field that is numbered after the steps."""
 
     source: Source
     target: TargetSpec
     steps: Callable[[Mapping[str, Lookup]], list[Step]] = lambda lookups: []
     needs: tuple[str, ...] = ()
+    numbered: Numbered | None = None
 
-    def rows(self, spark: SparkSession, lookups: Mapping[str, Lookup]) -> DataFrame:
+    def rows(self, spark: SparkSession, lookups: Mapping[str, Lookup], start: int = 0) -> DataFrame:
         df = self.source if isinstance(self.source, DataFrame) else self.source(spark)
         for step in self.steps(lookups):
             df = df.transform(step)
+        if self.numbered:
+            df = df.transform(add_sequence(self.numbered.field, *self.numbered.order, start=start))
         return df.transform(project_to(self.target))
 
 
@@ -77,15 +90,23 @@ class Plan:
             order.done(*ready)
         return out
 
-    def _target_rows(self, spark: SparkSession, name: str, lookups: Mapping[str, Lookup]) -> DataFrame:
-        return union_rows(*(t.rows(spark, lookups) for t in self.transfers if t.target.name == name))
+    def _target_rows(self, spark: SparkSession, name: str, lookups: Mapping[str, Lookup], next_of: dict[str, int]) -> DataFrame:
+        """The rows of a target; `next_of` has what its sequences give next, and is moved on."""
+        frames = []
+        for t in (t for t in self.transfers if t.target.name == name):
+            sequence = t.numbered and (t.numbered.sequence or name)
+            frames.append(t.rows(spark, lookups, next_of.get(sequence, 0) if sequence else 0))
+            if sequence:
+                next_of[sequence] = next_of.get(sequence, 0) + frames[-1].count()  # of a stored table
+        return union_rows(*frames)
 
     def frames(self, spark: SparkSession, existing: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
         """Every target's frame: one lazy plan each, for queries and tests."""
         lookups: dict[str, Lookup] = {}
         out: dict[str, DataFrame] = {}
+        numbers: dict[str, int] = {}
         for name in (n for stage in self.stages() for n in stage):
-            target, rows = self.targets[name], self._target_rows(spark, name, lookups)
+            target, rows = self.targets[name], self._target_rows(spark, name, lookups, numbers)
             if target.kind == TargetKind.FACT:
                 out[name] = rows
             else:
@@ -93,12 +114,17 @@ class Plan:
                 lookups[name] = lookup_of(out[name], target)
         return out
 
-    def load(self, spark: SparkSession, warehouse: str, format: str = "parquet") -> dict[str, int]:
+    def load(self, spark: SparkSession, warehouse: str, format: str = "parquet", facts: str = "append") -> dict[str, int]:
         """Loads and stores all targets below `warehouse`; the rows written to each.
 
-        Dimensions are merged with what they hold; facts are appended.  Rows
-        without a business key are set aside in ``<target>_rejects``.
+        Dimensions are merged with what they hold; facts are appended, or with
+        `facts` "overwrite" replaced, so that a repeated load changes nothing.  Rows
+        without a business key are set aside in ``<target>_rejects``.  What
+        sequences give next and the targets' row counts are kept in
+        ``_sequences``, stored after each target is.
         """
+        store = SequenceStore(spark, f"{warehouse.rstrip('/')}/_sequences")
+        numbers = {s: store.next_of(s) for s in {t.numbered.sequence or t.target.name for t in self.transfers if t.numbered}}
         lookups: dict[str, Lookup] = {}
         counts: dict[str, int] = {}
         shared = self._shared()
@@ -107,9 +133,9 @@ class Plan:
         try:
             for name in (n for stage in self.stages() for n in stage):
                 target, path = self.targets[name], self.targets[name].location or f"{warehouse.rstrip('/')}/{name}"
-                rows, seen = self._target_rows(spark, name, lookups), Observation(name)
+                rows, seen = self._target_rows(spark, name, lookups, numbers), Observation(name)
                 if target.kind == TargetKind.FACT:
-                    publish(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, "append", format)
+                    publish(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, facts, format)
                 else:
                     recover(spark, path)
                     old = spark.read.format(format).load(path) if exists(spark, path) else None
@@ -120,6 +146,9 @@ class Plan:
                     publish(built.observe(seen, F.count(F.lit(1)).alias("rows")), path, "overwrite", format)
                     lookups[name] = lookup_of(spark.read.format(format).load(path), target)
                 counts[name] = seen.get["rows"]
+                if numbers:
+                    store.commit(**numbers)
+            store.set_row_counts(**counts)
         finally:
             for df in shared:
                 df.unpersist()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,11 @@ def count_lines(spark: SparkSession, *paths: str) -> int:
 
 
 def copy_first_lines(spark: SparkSession, source: str, target: str, n: int) -> None:
-    """The first n lines of a text, in the order of its files."""
-    spark.read.text(source).limit(n).write.text(target)
+    """The first n lines of the oldest file of a text, in their order; n is what the driver holds."""
+    fs, where = _fs(spark, source)
+    files = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    lines = spark.read.text(files[0][1]).take(n) if files else []
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(target)
 
 
 def drop_empty_files(spark: SparkSession, path: str) -> int:
@@ -141,11 +144,14 @@ def publish(df: DataFrame, path: str, mode: str = "overwrite", format: str = "pa
     swap(spark, staged, path)
 
 
-def fan_out(df: DataFrame, targets: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[str, DataFrame], None]) -> None:
-    """Several targets from one parent that is computed once."""
-    kept = df.persist()
+def fan_out(df: DataFrame, targets: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[str, DataFrame], None]) -> dict[str, int]:
+    """Several named targets from one parent that is computed once; the rows written to each."""
+    kept, counts = df.persist(), {}
     try:
         for name, step in targets.items():
-            write(name, step(kept))
+            seen = Observation(name)
+            write(name, step(kept).observe(seen, F.count(F.lit(1)).alias("rows")))
+            counts[name] = seen.get["rows"]
     finally:
         kept.unpersist()
+    return counts

@@ -11,17 +11,22 @@ from ..functions import scalars as S
 from ..functions.types import DataType, coerce
 from ..operators import filters as R
 from ..operators import transforms as X
-from ..operators.dimensions import build_dimension, distinct_keys
+from ..operators.dimensions import align, build_dimension, distinct_keys
 from ..operators.lookups import Lookup, look_up, look_up_as_of, lookup_index
 from ..operators.ordering import SortKey, ordering, rows_equal
-from ..operators.sequences import dense_ids, numbered_by
+from ..operators.sequences import add_sequence
 from ..operators.spec import FieldSpec, Role, dimension, fact, versioned
-from ..sources.delimited import parse_lines, rejected_lines
-from .partitioning import part_of
-from .planner import Plan, Transfer, row_counts, union_rows
-from .publish import to_lines
+from ..sources.delimited import DelimitedSource, parse_lines, rejected_lines
+from .partitioning import merge_bucketed, part_of, write_bucketed, write_parts
+from .partitioning import prepartition as prepartitioned
+from .planner import Numbered, Plan, Transfer, row_counts, union_rows
+from .publish import fan_out as publish_fan_out
+from .publish import publish, to_lines
+from .scratch import scratch_path
 
 LOAD_DATE = dt.date(2030, 1, 1)
+#: Buckets of the stored tables that merge_bigdim makes.
+BUCKETS = 8
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -189,14 +194,14 @@ def filter_rejects(spark, d):
 # --- sequences -------------------------------------------------------------------
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + 99 AS sid FROM customer")
+@query("SELECT *, row_number() OVER (ORDER BY o_orderkey) + 99 AS sid FROM orders")
 def sequence_dense(spark, d):
-    return numbered_by(_t(spark, d, "customer").select("c_custkey"), "c_custkey", start=100)
+    return _t(spark, d, "orders").transform(add_sequence("sid", "o_orderkey", start=100))
 
 
 @query("SELECT count(*) AS n, count(*) AS distinct_ids, 0::BIGINT AS low, count(*) - 1 AS high FROM orders")
 def sequence_by_partition(spark, d):
-    ids = dense_ids(_t(spark, d, "orders").select("o_orderkey"))
+    ids = _t(spark, d, "orders").transform(add_sequence("sid"))
     return ids.agg(F.count("*").alias("n"), F.countDistinct("sid").alias("distinct_ids"), F.min("sid").alias("low"), F.max("sid").alias("high"))
 
 
@@ -214,12 +219,21 @@ def dim_type1(spark, d):
 
 @query(_TYPE1)
 def dim_type1_incremental(spark, d):
-    rows = _t(spark, d, "orders").transform(_STEPS)
-    # the first half is loaded, then the second comes on top
-    low = rows.where("sid % 2 = 0")
-    first = build_dimension(low, _CUSTOMERS)
-    # an overwritten dimension only keeps its least key, so a full reload brings the attributes up to date
-    return build_dimension(rows, _CUSTOMERS, existing=first)
+    """The older half is loaded, then only the newer one on top."""
+    orders = _t(spark, d, "orders")
+    half = (orders.agg(F.max("o_orderkey")).first()[0] or 0) // 2
+    rows = orders.transform(_STEPS)
+    return build_dimension(rows.where(F.col("sid") > half), _CUSTOMERS, existing=build_dimension(rows.where(F.col("sid") <= half), _CUSTOMERS))
+
+
+@query("""SELECT min(n) AS sid, o_custkey AS custkey, arg_max(o_orderstatus, n) AS status, arg_max(o_orderpriority, n) AS priority
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY o_custkey""")
+def dim_type1_sequence(spark, d):
+    """Surrogate keys drawn from a sequence, loaded and reread."""
+    source = _t(spark, d, "orders").transform(X.chain(X.rename_field("o_custkey", "custkey"), X.rename_field("o_orderstatus", "status"), X.rename_field("o_orderpriority", "priority")))
+    where = scratch_path(spark)
+    Plan(Transfer(source, _CUSTOMERS, numbered=Numbered("sid", ("o_orderkey",)))).load(spark, where)
+    return spark.read.parquet(f"{where}/customers")
 
 
 @query("""SELECT o_orderdate::DATE::VARCHAR AS day_date, min(o_orderkey) AS dateid, extract(day FROM o_orderdate::DATE)::INTEGER AS day, extract(month FROM o_orderdate::DATE)::INTEGER AS month, extract(year FROM o_orderdate::DATE)::INTEGER AS year,
@@ -275,15 +289,66 @@ def dim_scd2_incremental(spark, d):
  WHERE pm IS NULL OR day > pm WINDOW w AS (PARTITION BY user_id ORDER BY sid))
 WHERE n = 1 OR kind IS DISTINCT FROM before WINDOW v AS (PARTITION BY user_id ORDER BY sid)""")
 def dim_scd2_changes_only(spark, d):
-    tracked = versioned("users", *_USERS.fields, track=("kind",))
-    return _iso(build_dimension(_user_rows(spark, d), tracked, LOAD_DATE))
+    """Loaded in three parts, each on top of what was."""
+    tracked = versioned("users", *_USERS.fields, _f("seen", DataType.DATE, Role.SCD_LASTSEEN), track=("kind",))
+    rows, held = _user_rows(spark, d).withColumn("seen", F.lit(None).cast("date")), None
+    last = _t(spark, d, "events").agg(F.max("event_id")).first()[0] or 0
+    for part in (F.col("sid") <= last // 3, (F.col("sid") > last // 3) & (F.col("sid") <= 2 * last // 3), F.col("sid") > 2 * last // 3):
+        held = build_dimension(rows.where(part), tracked, LOAD_DATE, held)
+    return _iso(held.drop("seen"))
 
 
 @query(_iso_sql(_scd_sql()))
 def merge_bigdim(spark, d):
-    """Old and new halves as one load would give; plans/partitioning.py has the merge of bucketed tables."""
+    """A stored dimension and its increment, both bucketed by the business key, merged without a shuffle."""
     rows = _user_rows(spark, d)
-    return _iso(build_dimension(rows.where("sid % 2 = 1"), _USERS, LOAD_DATE, existing=rows.where("sid % 2 = 0")))
+    half = (_t(spark, d, "events").agg(F.max("event_id")).first()[0] or 0) // 2
+    names = []
+    for part in (build_dimension(rows.where(F.col("sid") <= half), _USERS, LOAD_DATE), align(rows.where(F.col("sid") > half), _USERS)):
+        path = scratch_path(spark)
+        names.append(f"bigdim_{path.rsplit('-', 1)[1]}")
+        write_bucketed(part, names[-1], BUCKETS, "user_id", path=path)
+    old, new = map(spark.table, names)
+    return _iso(merge_bucketed(old, new, _USERS, LOAD_DATE))
+
+
+# --- stored targets ------------------------------------------------------------
+
+
+@query(_iso_sql(_scd_sql()))
+def stored_dim_swap(spark, d):
+    """A versioned dimension, loaded in two parts: the second takes the first one's place by a swap."""
+    where, rows = scratch_path(spark), _user_rows(spark, d)
+    half = (_t(spark, d, "events").agg(F.max("event_id")).first()[0] or 0) // 2
+    for part in (F.col("sid") <= half, F.col("sid") > half):
+        Plan(Transfer(rows.where(part), _USERS), load_date=LOAD_DATE).load(spark, where)
+    return _iso(spark.read.parquet(f"{where}/users"))
+
+
+@query("SELECT p_partkey + 1 AS partid, p_brand AS brand, p_size::BIGINT AS size FROM part")
+def stored_text_gzip(spark, d):
+    """A named target as compressed tab-separated text, and read again."""
+    where = scratch_path(spark)
+    publish(_t(spark, d, "part").selectExpr("p_partkey + 1 as partid", "p_brand as brand", "p_size as size"), where, format="tsv", compression="gzip")
+    return DelimitedSource((where,), (_f("partid", DataType.LONG), _f("brand"), _f("size", DataType.LONG))).read(spark)
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL")
+def stored_by_key(spark, d):
+    """One folder of files for each value of a key, read again with the key from the folder's name."""
+    where = scratch_path(spark)
+    publish(_t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority")), where, partition_by=("priority",))
+    return spark.read.parquet(where).groupBy(F.col("priority").cast("string").alias("priority")).agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT o_custkey AS custid, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY ALL")
+def stored_fact_twice(spark, d):
+    """Facts that replace what was: loading twice stores them once."""
+    where = scratch_path(spark)
+    target = fact("orders", _f("custid", DataType.LONG), _f("price", DataType.DOUBLE))
+    for _ in range(2):
+        Plan(Transfer(_t(spark, d, "orders").selectExpr("o_custkey as custid", "o_totalprice as price"), target)).load(spark, where, facts="overwrite")
+    return spark.read.parquet(f"{where}/orders").groupBy("custid").agg(F.count("*").alias("n"), F.max("price").alias("most"))
 
 
 # --- lookups and facts -------------------------------------------------------------
@@ -412,8 +477,12 @@ def union_inputs(spark, d):
 
 @query("SELECT 'dates' AS target, count(DISTINCT l_shipdate::DATE) AS n FROM lineitem UNION ALL SELECT 'lines', count(*) FROM lineitem")
 def fan_out(spark, d):
-    frames = _star(spark, d).frames(spark)
-    return union_rows(*(frames[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("target"), "n") for n in ("dates", "lines")))
+    """Two stored targets of one parent, and the counts that were taken while they were written."""
+    where, item = scratch_path(spark), _t(spark, d, "lineitem")
+    steps = {"dates": lambda df: distinct_keys(df.select(F.col("l_shipdate").cast("date").alias("day")), ["day"]), "lines": lambda df: df.select("l_orderkey", "l_quantity")}
+    counts = publish_fan_out(item, steps, lambda name, df: publish(df, f"{where}/{name}"))
+    stored_rows = {n: spark.read.parquet(f"{where}/{n}").agg(F.count("*").alias("n")) for n in steps}
+    return union_rows(*(stored_rows[n].select(F.lit(n).alias("target"), F.when(F.col("n") == counts[n], F.col("n")).alias("n")) for n in steps))
 
 
 @query("SELECT 'part' AS name, count(*) AS rows FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'region', count(*) FROM region")
@@ -421,10 +490,18 @@ def table_row_counts(spark, d):
     return row_counts(part=_t(spark, d, "part"), orders=_t(spark, d, "orders"), region=_t(spark, d, "region"))
 
 
-@query()
+@query("SELECT count(*) AS rows, 0::BIGINT AS split_keys, 0::BIGINT AS unsorted, 0::BIGINT AS strangers FROM orders")
 def prepartition(spark, d):
-    """Rows and distinct keys of each part of orders by customer."""
-    return _t(spark, d, "orders").groupBy(part_of(16, "o_custkey").alias("part")).agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("keys"))
+    """Orders dealt to sorted parts by customer, stored and in flight: keys in several parts, rows out of order, rows in another part than their key's."""
+    where, orders = scratch_path(spark), _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    write_parts(orders, where, 16, "o_custkey")
+    kept = spark.read.parquet(where)
+    spread = kept.groupBy("o_custkey").agg(F.countDistinct("part").alias("parts")).agg(F.count(F.when(F.col("parts") > 1, 1)).alias("split_keys"))
+    dealt = prepartitioned(orders, 16, "o_custkey").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    # the place in a part is sorted like the key
+    sort_check = dealt.withColumn("before", F.lag("o_custkey").over(Window.partitionBy("part").orderBy("at"))).agg(F.count(F.when(F.col("before") > F.col("o_custkey"), 1)).alias("unsorted"))
+    strangers = kept.agg(F.count("*").alias("rows"), F.count(F.when(F.col("part") != part_of(16, "o_custkey"), 1)).alias("strangers"))
+    return union_rows(strangers, spread, sort_check).agg(*(F.max(c).alias(c) for c in ("rows", "split_keys", "unsorted", "strangers")))
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY kind NULLS FIRST, value DESC NULLS LAST, event_id) AS place FROM (SELECT *, CASE WHEN event_id % 6 > 0 THEN event_type END AS kind FROM events)""")
@@ -443,7 +520,7 @@ def compare_rows(spark, d):
 
 
 @query("""SELECT c_custkey, CASE WHEN length(c_name) >= 20 THEN c_name ELSE lpad(c_name, 20, '*') END AS padded, length(c_name) - length(replace(c_name, '0', '')) AS zeros, split_part(c_name, '#', 2) AS token,
-c_custkey % 10 = 0 AS blank, lower(c_mktsegment) = 'building' AS building, CASE WHEN c_nationkey < c_custkey THEN -1 WHEN c_nationkey = c_custkey THEN 0 ELSE 1 END AS cmp, true AS whole, c_name AS utf8
+c_custkey % 10 = 0 AS blank, lower(c_mktsegment) = 'building' AS building, CASE WHEN c_nationkey < c_custkey THEN -1 WHEN c_nationkey = c_custkey THEN 0 ELSE 1 END AS cmp, c_custkey % 4 = 0 OR c_custkey % 4 = 3 AS whole, c_name AS utf8
 FROM customer""")
 def scalars_string(spark, d):
     c = _t(spark, d, "customer")
@@ -455,7 +532,7 @@ def scalars_string(spark, d):
         S.is_empty(F.when(F.col("c_custkey") % 10 == 0, " \t").otherwise("x")).alias("blank"),
         S.names_match(F.col("c_mktsegment"), F.lit("Building")).alias("building"),
         S.compare(F.col("c_nationkey"), F.col("c_custkey")).alias("cmp"),
-        S.is_integer(F.col("c_custkey").cast("string")).alias("whole"),
+        S.is_integer(F.concat(F.element_at(F.array(*map(F.lit, ("", "+", " ", "-"))), (F.col("c_custkey") % 4 + 1).cast("int")), F.col("c_custkey").cast("string"))).alias("whole"),
         S.from_utf8(S.to_utf8(F.col("c_name"))).alias("utf8"),
     )
 

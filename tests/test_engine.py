@@ -16,8 +16,8 @@ from dimweave.operators.lookups import Lookup, look_up, look_up_as_of
 from dimweave.operators.sequences import SequenceStore, dense_ids, numbered_by
 from dimweave.operators.spec import FieldSpec, Role, dimension, fact, versioned
 from dimweave.plans.partitioning import merge_bucketed, write_bucketed, write_parts
-from dimweave.plans.planner import Plan, Transfer
-from dimweave.plans.publish import count_lines, exists, publish, recover, rename
+from dimweave.plans.planner import Numbered, Plan, Transfer
+from dimweave.plans.publish import copy_first_lines, count_lines, exists, fan_out, publish, recover, rename
 from dimweave.sources.delimited import DelimitedSource, parse_lines, rejected_lines, text_fields
 
 LOAD = dt.date(2030, 1, 1)
@@ -150,6 +150,13 @@ def test_numbers_and_store(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/n")
     assert sorted(r["sid"] for r in dense_ids(kept, start=7).collect()) == list(range(7, 1007))
     assert all(r["sid"] == r["id"] for r in numbered_by(kept, "id").collect())
+    with_others = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("k"), F.rand(1).alias("x"), F.lit("y").alias("y"))
+    numbered_by(with_others, "k").write.parquet(f"{tmp_path}/numbered")
+    back = spark.read.parquet(f"{tmp_path}/numbered")
+    low = back.agg(F.count("*"), F.countDistinct("sid"), F.min("sid"), F.max("sid"), F.countDistinct("k")).first()
+    assert tuple(low) == (400_000, 400_000, 0, 399_999, 400_000)
+    assert back.alias("a").join(back.alias("b"), F.expr("a.sid = b.sid - 1 and a.k >= b.k")).count() == 0
+    assert dense_ids(df.limit(0)).count() == 0
     store = SequenceStore(spark, f"{tmp_path}/meta")
     assert store.next_of("a") == 0
     store.commit(a=10, b=3)
@@ -188,6 +195,39 @@ def test_plan_loads_in_order_and_merges(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sub_rejects").count() == 2
 
 
+def test_plan_draws_and_stores_keys(spark, tmp_path):
+    dim = dimension("d", FieldSpec("id", DataType.LONG, Role.PRI), FieldSpec("k", role=Role.LOOKUP), FieldSpec("v"))
+    load = lambda rows: Plan(Transfer(spark.createDataFrame(rows, "k string, v string"), dim, numbered=Numbered("id", ("k", "v")))).load(spark, str(tmp_path))
+    load([("a", "1"), ("b", "1"), ("b", "2")])
+    load([("b", "3"), ("c", "1")])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/d").collect())) == [(0, "a", "1"), (1, "b", "3"), (4, "c", "1")]
+    store = SequenceStore(spark, f"{tmp_path}/_sequences")
+    assert store.next_of("d") == 5 and store.row_counts() == {"d": 3}
+
+
+def test_tracked_versions_in_parts(spark):
+    fields = (*USERS.fields, FieldSpec("seen", DataType.DATE, Role.SCD_LASTSEEN))
+    tracked = versioned("t", *fields, track=("v",))
+    rows = [(1, "k", "A", day("2020-01-01")), (2, "k", "A", day("2020-01-05")), (3, "k", "B", day("2020-01-03")), (4, "k", "B", day("2020-01-07"))]
+    make = lambda part: spark.createDataFrame(part, "sid long, k string, v string, validfrom date").transform(X.project_to(tracked))
+    whole = [tuple(r) for r in build_dimension(make(rows), tracked, LOAD).orderBy("version").collect()]
+    held = None
+    for row in rows:
+        held = build_dimension(make([row]), tracked, LOAD, held)
+    assert [tuple(r) for r in held.orderBy("version").collect()] == whole
+    assert [(r[0], r[2], str(r[6])) for r in whole] == [(1, "A", "2020-01-05"), (4, "B", "2020-01-07")]
+    with pytest.raises(ValueError):
+        build_dimension(frame(spark, []), versioned("t", *USERS.fields, track=("v",)), LOAD, frame(spark, []))
+
+
+def test_first_lines_and_named_outputs(spark, tmp_path):
+    spark.createDataFrame([(str(i),) for i in range(2000)], "value string").coalesce(1).write.text(f"{tmp_path}/text")
+    copy_first_lines(spark, f"{tmp_path}/text", f"{tmp_path}/head", 7)
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/head").collect()] == [str(i) for i in range(7)]
+    counts = fan_out(spark.range(10), {"even": lambda df: df.where("id % 2 = 0"), "all": lambda df: df}, lambda n, df: publish(df, f"{tmp_path}/{n}"))
+    assert counts == {"even": 5, "all": 10} and spark.read.parquet(f"{tmp_path}/even").count() == 5
+
+
 def test_failed_dimension_stops_facts(spark, tmp_path):
     dim = dimension("d", FieldSpec("id", DataType.INT, Role.PRI), FieldSpec("k", role=Role.LOOKUP))
     bad = spark.range(1).select(F.col("id").cast("int"), F.raise_error(F.lit("no")).cast("string").alias("k"))
@@ -234,6 +274,6 @@ def test_scalars(spark):
     assert one(S.array_text(F.array(F.lit("a"), F.lit(None)), "-")) == "a-null"
     assert one(S.resize_array(F.array(F.lit(1), F.lit(2)), 1)) == [1, 2, None] and one(S.resize_array(F.array(F.lit(1), F.lit(2)), -1)) == [1]
     assert one(S.date_before(F.lit("2020-01-01"), F.lit(""))) and not one(S.date_before(F.lit(""), F.lit("2020-01-01")))
-    assert one(S.is_integer(F.lit("12"))) and not one(S.is_integer(F.lit(" 12"))) and len(one(S.random_text(40, 1))) == 40
+    assert one(S.is_integer(F.lit("12"))) and not one(S.is_integer(F.lit(" 12"))) and not one(S.is_integer(F.lit("+12"))) and len(one(S.random_text(40, 1))) == 40
     assert one(S.key_for_value(F.create_map(F.lit("a"), F.lit(1)), 2)) is None
     assert one(S.printable_char(F.lit("\x01"))) == "0x01" and one(S.compare(F.lit(None), F.lit("a"))) == -1

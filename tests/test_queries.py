@@ -30,11 +30,6 @@ def test_query_equals_its_sql(spark, sf_dir, db, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-def test_parts_hold_all_rows(spark, sf_dir):
-    parts = registry.prepartition(spark, sf_dir).collect()
-    assert sum(r["rows"] for r in parts) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-
-
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
