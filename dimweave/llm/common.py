@@ -9,8 +9,6 @@ made and used.
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_dir
+
 #: Bytes of text that a Python worker handles at a time.
 TEXT_BLOCK = 4 << 20
 #: Bytes of a kept table's files, up to which it is broadcast.
@@ -27,25 +27,10 @@ SMALL_BYTES = 4 << 20
 #: Spark's setting by which a query's shuffle files are removed when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own_dir: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, on a single machine, a folder of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(f"file://{tempfile.mkdtemp(prefix='dimweave-')}")
-    return _own_dir[0]
-
-
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet in the shared folder.
 

@@ -7,7 +7,7 @@ is rejected if that cosine is far below what labelled texts of its length
 reach.
 
 The classifier is fitted on the driver from at most `max_rows` labelled rows
-(the smallest hashes of texts, an equal number for each language) and
+(the smallest hashes of id and text, an equal number for each language) and
 at most `max_chars` characters of each.  Predictions use whole texts, and only
 their texts.
 
@@ -23,11 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_sample, mix, table, text_blocks
+from .common import mix, table, text_blocks
 
 #: Hashed n-gram dimensions.
 DIMS = 1 << 14
@@ -129,7 +129,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit_language_id(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 2000, max_chars: int = 4000, per_language: int = 4, strictness: float = 0.5, seed: int = 7
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000, max_chars: int = 4000, per_language: int = 4, strictness: float = 0.5, seed: int = 7
 ) -> Model:
     """Fits centroids and thresholds on at most `max_rows` labelled rows.
 
@@ -137,15 +137,22 @@ def fit_language_id(
     `strictness` times the least cosine that labelled texts, cut to its length
     class, reach.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.substring(text, 1, max_chars).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("order"))
+    # the key only orders the sample, so that texts that are repeated don't stand or fall together
+    order = F.pmod(F.xxhash64(*([key] if key in labelled.columns else []), text), F.lit(1 << 40))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.substring(text, 1, max_chars).alias("text"), F.col(lang).alias("lang"), order.alias("order"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS)), np.zeros(0, np.int64))
     share = max(1, max_rows // len(counts))
-    # a sample whose size is bounded by max_rows: the smallest hashes of each language
-    picked: list[tuple[str, str]] = []
-    for name, n in sorted(counts.items()):
-        picked += [(name, t) for (t,) in sorted(map(tuple, bounded_sample(rows.where(F.col("lang") == name), F.col("order"), share, n).select("text").collect()))]
+    # a sample whose size is bounded by max_rows: the smallest hashes of each language, found among those below a bound that lets about four times as many through
+    bounds = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 4.0 * share / n) * (1 << 40)))))
+    least = Window.partitionBy("lang").orderBy("order", "text")
+    first = lambda some: [tuple(r) for r in some.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= share).select("lang", "text").collect()]
+    picked = first(rows.where(F.col("order") <= F.element_at(bounds, F.col("lang"))))
+    short = [name for name, n in counts.items() if sum(x == name for x, _ in picked) < min(share, n)]
+    if short:  # rows that are repeated whole, and share a hash, may leave too few below the bound
+        picked = [p for p in picked if p[0] not in short] + first(rows.where(F.col("lang").isin(short)))
+    picked.sort()
     langs = sorted({x for x, _ in picked})
     rng = np.random.default_rng(seed)
     grams, letters = _gram_counts([t for _, t in picked])

@@ -324,6 +324,22 @@ def test_language_id(spark):
     out = {x["doc_id"]: x for x in language_id.identify_language(df, language_id.fit_on_documents(df)).collect()}
     assert all(out[i]["lang_pred"] == lang for i, t, lang in rows[:200]) and not any(out[i]["rejected"] for i in range(200))
     assert [out[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and out[903]["rejected"]
+    # a language whose text is one, many times repeated, is learnt beside others
+    many = df.where("doc_id < 200").unionByName(spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit("ßöü quz waß jöü").alias("text"), F.lit("de").alias("lang")))
+    assert {x["lang_pred"] for x in language_id.identify_language(many, language_id.fit_on_documents(many)).where("lang = 'de'").collect()} == {"de"}
+    twice = many.where("lang <> 'de'").unionByName(spark.range(9000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("ßöü quz waß jöü").alias("text"), F.lit("de").alias("lang")))
+    model = language_id.fit_language_id(twice)
+    assert model.languages == ["de", "en", "es"]
+    # predictions equal a plain nearest-centroid search over dense vectors
+    texts = [r[1] for r in rows] + ["", "the ción the ción", "x" * 3000]
+    langs, scores, _ = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        (at, n), letters = (y[0] for y in language_id._gram_counts([text]))
+        dense = np.zeros(language_id.DIMS)
+        dense[at] = (1 + np.log(n)) * model.idf[at]
+        dense /= np.linalg.norm(dense) or 1
+        cosines = model.centroids @ dense
+        assert (lang == "und" and score == 0) if not letters else (lang == model.languages[model.owner[int(np.argmax(cosines))]] and abs(score - min(1, max(0, cosines.max()))) < 1e-9)
     blank = df.withColumn("lang", F.lit(None).cast("string"))
     assert {x["lang_pred"] for x in language_id.identify_language(blank, language_id.fit_on_documents(blank)).collect()} == {"und"}
 
