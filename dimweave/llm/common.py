@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import shared_dir
 
 #: Bytes of text that a Python worker handles at a time.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 1 << 20
 #: Bytes of a kept table's files, up to which it is broadcast.
 SMALL_BYTES = 4 << 20
 #: Spark's setting by which a query's shuffle files are removed when it ends.

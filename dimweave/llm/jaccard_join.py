@@ -288,8 +288,8 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     in itself, or two blocks, searched against each other.
     """
     for rows in grouped(batches, ["place", "low", "high"], ["block", "cls", "elements"]):
-        place = _SetPlace(*zip(*((b, c, np.frombuffer(e, np.uint64)) for b, c, e in rows), strict=True), PERCENT)
-        if place.hubs(HUBS):
+        place = _SetPlace(*zip(*((b, c, np.frombuffer(e, np.uint64)) for *_, b, c, e in rows), strict=True), PERCENT)
+        if place.hubs(HUBS, rows[0][0]):
             place.trees()
         yield link_batch(place.links)
 

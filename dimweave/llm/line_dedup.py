@@ -171,7 +171,7 @@ def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, bands) of the lines of each text block, equal lines once, and mostly once a task."""
+    """Rows (band, cls) of the lines of each text block, equal lines once, and mostly once a task."""
     seen: set[int] = set()
     for batch in text_blocks(batches, "text"):
         lines = list({x for text in text_bytes(batch.column(0)) for x in _canonical(text)} - {b""})
@@ -180,10 +180,8 @@ def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = seen | new.keys() if len(seen) < SEEN else set(new)
         ids = np.array(list(new), np.int64)
         for part in _slices(list(new.values()), SLICE):
-            flat = _bands(part).view(np.int64).reshape(-1)
-            ends = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
             mine, ids = ids[: len(part)], ids[len(part) :]
-            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bands(part).view(np.int64).reshape(-1)), pa.array(np.repeat(mine, BANDS))], names=["band", "cls"])
 
 
 def _slices(lines: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -212,11 +210,11 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[list[tuple]] = []
 
     def search() -> pa.RecordBatch:
-        sets = iter(_shingle_sets([line for rows in held for *_, line in rows]))
+        sets = iter(_shingle_sets([r[5] for rows in held for r in rows]))
         links = []
         for rows in held:
-            place = Place([r[0] for r in rows], [r[1] for r in rows], [next(sets) for _ in rows], PERCENT)
-            if place.hubs(HUBS):
+            place = Place([r[3] for r in rows], [r[4] for r in rows], [next(sets) for _ in rows], PERCENT)
+            if place.hubs(HUBS, rows[0][0]):  # a place's own class shares a band with each other
                 place.rest()
             links += place.links
         held.clear()
@@ -225,7 +223,7 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # the lines of many small places are hashed together
     for rows in grouped(batches, ["place", "low", "high"], ["block", "cls", "line"]):
         held.append(rows)
-        if sum(len(r[2]) for rows in held[-1:] for r in rows) > SLICE or len(held) >= 256:
+        if sum(len(r[5]) for r in rows) > SLICE or len(held) >= 256:
             yield search()
     if held:
         yield search()
@@ -234,15 +232,15 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of (id, row, text): its lines (id, row, line_no, cls, sure, n_solid), and (cls, sure, component) of classes that are linked with others."""
     lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long, sure long, n_solid int"))
-    bands = docs.select("text").mapInArrow(_class_pass, "cls long, bands array<long>").select(F.explode("bands").alias("band"), "cls")
+    bands = docs.select("text").mapInArrow(_class_pass, "band long, cls long")
     places = meeting_places(scratch, bands, "band")
     nodes = places.select("cls").distinct()
 
     # the lines of classes that meet others, each from its first document
     first = lines.join(nodes, "cls").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no", "sure")).alias("at"))
     first = scratch.keep(first.select("cls", "at.*"))
-    asked = first.groupBy("id", "row").agg(F.collect_list("line_no").alias("numbers"))  # lines of one document at most
-    texts = docs.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.row") == F.col("a.row"))).select("numbers", "text")
+    asked = scratch.keep(first.groupBy("id", "row").agg(F.collect_list("line_no").alias("numbers")))  # lines of one document at most
+    texts = docs.alias("d").join(scratch.small(asked).alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.row") == F.col("a.row"))).select("numbers", "text")
     texts = scratch.keep(texts.mapInArrow(_wanted_pass, "cls long, line binary").dropDuplicates(["cls"]))
 
     sized = texts.select("cls", F.length("line").alias("size"))

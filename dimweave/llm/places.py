@@ -9,7 +9,7 @@ import pyarrow as pa
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[list[tuple]]:
-    """The rows (`columns`) of each group of equal `by`, of rows that come sorted by it; a group may span batches."""
+    """The rows (`columns`, after the values of `by`) of each group of equal `by`, of rows that come sorted by it; a group may span batches."""
     here, held = None, []
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*by, *columns)]
@@ -18,7 +18,7 @@ def grouped(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]
                 if held:
                     yield held
                 here, held = row[: len(by)], []
-            held.append(row[len(by) :])
+            held.append(row)
     if held:
         yield held
 
@@ -66,8 +66,8 @@ class Place:
         both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
         return others[100 * both >= self.percent * (len(own) + sizes - both)]
 
-    def hubs(self, most: int) -> bool:
-        """Compares up to `most` hubs with what no hub has linked yet; whether several components are left to compare."""
+    def hubs(self, most: int, named: int | None = None) -> bool:
+        """Compares up to `most` hubs, the set `named` first if it is here, with what no hub has linked yet; whether several components are left to compare."""
         n = len(self.ids)
         # the round that made a set a hub, and the last one that it was compared in
         self.hub, self.until = np.full(n, n + 1), np.full(n, n)
@@ -76,6 +76,8 @@ class Place:
             if len(left) < 2:
                 break
             hub = int(left[len(left) // 2])
+            if k == 0 and named is not None and (self.ids == named).any():
+                hub = int(np.flatnonzero(self.ids == named)[0])
             here[hub] = False
             self.hub[hub] = self.until[hub] = k
             near = self.near(hub, left[here[left]])
