@@ -44,8 +44,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     several = named.where("row_ <> component_id").select("component_id").distinct()
     members = named.join(several, "component_id", "left_semi")
     best = members.groupBy("component_id").agg(F.min("rank").alias("best"))
-    copies = members.join(best, "component_id").where("row_ <> best.row_").select("row_")
-    return numbered.join(copies, "row_", "left_anti").select(*docs.columns)
+    copies = scratch.keep(members.join(best, "component_id").where("row_ <> best.row_").select("row_"))
+    return numbered.join(scratch.small(copies), "row_", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
