@@ -229,7 +229,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = again.select("ctx", "s0", "s1", "id", "row", "at", "lo", "hi", "mixed", (F.col("low") != F.col("high")).alias("many"), (me == F.col("low")).alias("head"), F.col("low.id").alias("first_id"))
     shared = scratch.keep(shared.distinct())
     listed = scratch.keep(shared.where("mixed and head").groupBy("row").agg(F.collect_list(F.struct("ctx", "many", "at", "lo", "hi")).alias("runs")))  # of one text at most
-    windowed = texts.join(scratch.small(listed), "row").select("id", "row", "runs", "text")
+    windowed = texts.join(listed, "row").select("id", "row", "runs", "text")
     wins = scratch.keep(windowed.mapInArrow(_window_pass, "win long, ctx long, many boolean, id long, row long, at int, start int"))
     place = F.struct("id", "row", "at", "start")
     found = wins.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("many").alias("many"))
@@ -256,7 +256,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     needed = scratch.keep(grouped)
     rows = scratch.keep(needed.select(F.col("row_a").alias("row")).unionByName(needed.select(F.col("row_b").alias("row"))).distinct())
     held = scratch.keep(rows.join(firsts, "row", "left"))
-    used = scratch.keep(texts.join(scratch.small(held), "row"))
+    used = scratch.keep(texts.join(held, "row"))
     side = lambda x: used.select(*(F.col(c).alias(f"{c}_{x}") for c in ("row", "text", "firsts")))
     both = needed.join(side("a"), "row_a").join(side("b"), "row_b")
     matches = both.select("row_a", "row_b", "pairs", "text_a", "text_b", "firsts_a", "firsts_b").mapInArrow(_extend_pass(min_words), "row long, n_words long, start_byte long, end_byte long, late long, first_id long")
