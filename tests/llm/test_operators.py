@@ -396,3 +396,71 @@ def test_classes_are_peeled_only_by_shingles_of_their_own(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "_BELOW", np.uint64(below))
         results.append(sorted(map(tuple, jaccard_join.jaccard_components(docs(spark, texts)).collect())))
     assert results[0] == results[1] == results[2] and len({c for _, _, c in results[0]}) < len(texts)
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _order_minhash(text):
+    """The fingerprint in plain Python."""
+    import re
+    import xxhash
+
+    def spark_hash(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed)
+        return seed
+
+    long = lambda x: x.to_bytes(8, "little")
+    ws = [w.encode() for w in re.findall(r"[^ \t\n\x0b\f\r]{1,24}", text)]
+    grams = [ws[i : i + 2] for i in range(len(ws) - 1)] or ([[b" ".join(ws)]] if ws else [])
+    seen, bins = defaultdict(int), {}
+    for i, g in enumerate(grams):
+        h = spark_hash(*g) % 2**35
+        x = spark_hash(long(h), seen[h].to_bytes(4, "little")) >> 29
+        seen[h] += 1
+        bins[x >> 29] = min(bins.get(x >> 29, (x, i)), (x, i))
+    full, slots = sorted(bins), ["--------"] * 64
+    for j, b in enumerate(full):
+        pair = sorted([bins[b], bins[full[(j + 1) % len(full)]]], key=lambda y: y[1])
+        slots[b] = f"{spark_hash(*(long(y[0]) for y in pair)) % 2**32:08x}"
+    return "".join(slots)
+
+
+def test_fingerprints_equal_plain_python(spark):
+    texts = [*corpus(8), "again and " * 700, "a b " * 40]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs(spark, texts)).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    prints = [_order_minhash(t or "") for t in texts]
+    for i, d in enumerate(order):
+        me, after = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        third = len(me) // 3
+        edited = _order_minhash(me[: len(me) - third] + after[:third])
+        for column, other in (("near_edited", edited), ("near_next", prints[order[(i + 1) % len(order)]])):
+            pairs = [(prints[d][j : j + 8], other[j : j + 8]) for j in range(0, 512, 8)]
+            either = [p for p in pairs if p != ("--------", "--------")]
+            assert got[d][column] == (sum(x == y for x, y in either) / len(either) if either else 1.0)
+        assert got[d]["fingerprint"] == prints[d] and got[d]["edited_fingerprint"] == edited
+
+
+@pytest.mark.parametrize("cuts,rows", [(512, 500), (512, 3), (4, 3), (3, 1)])
+def test_next_rows_of_repeated_and_null_ids(spark, monkeypatch, cuts, rows):
+    """A third of the rows have one id and a third none; ranges are few or many."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprints, "CUTS", cuts)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+    r = random.Random(13)
+    table = [(r.choice([None, 50, r.randrange(100), (1 << 63) - 1]), f"text {r.randrange(60)}") for _ in range(120)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(5).withColumn("tie", F.xxhash64("text"))
+    got = defaultdict(list)
+    for x in fingerprints.with_next(frame, "doc_id", ["text"], "tie").collect():
+        got[x["doc_id"], x["text"]].append(x["next_text"])
+    order = sorted(table, key=lambda x: (x[0] is None, -(x[0] or 0), _signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
+    want = defaultdict(list)
+    for x, y in zip(order, order[1:] + order[:1], strict=True):
+        want[x].append(y[1])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert fingerprints.with_next(frame.limit(0), "doc_id", ["text"], "tie").count() == 0
