@@ -345,10 +345,38 @@ def test_language_id(spark):
 
 
 def test_licenses(spark):
-    text = dict((i, t) for i, t in licenses.LICENSES if len(t) > 300)["MIT"].replace("<year>", "2021").replace("<holders>", "Some One").lower().replace('"', "'")
+    text = dict((i, t) for i, t in licenses.LICENSES if len(t) > 300)["MIT"].replace("<year>", "2021").replace("<owner>", "Some One").lower().replace('"', "'")
     df = docs(spark, [text, f"intro\n* Licensed under the APACHE Licence, version 2.0\nmore", *ODD])
     out = sorted((r["doc_id"], r["unit"], r["line_no"], r["license_id"]) for r in licenses.scan_licenses(df, licenses.known_digests(spark)).collect())
-    assert out == [(0, "text", 0, "MIT"), (1, "line", 2, "Apache-2.0")]
+    # the body alone, here on one line, is a known text too
+    assert out == [(0, "line", 3, "MIT"), (0, "text", 0, "MIT"), (1, "line", 2, "Apache-2.0")]
+    assert licenses.scan_licenses(df.limit(0), licenses.known_digests(spark)).count() == 0
+
+
+def test_whole_texts_of_licenses_equal_sql(spark, tmp_path):
+    """Whole texts as files have them: wrapped, indented, with years and holders, other spellings, and one word too many."""
+    import textwrap
+
+    import duckdb
+
+    whole = [(i, t) for i, t in licenses.LICENSES if len(t) > 300]
+    texts = [textwrap.fill(t.split("\n")[-1], 70, initial_indent="  ").replace("holder", "owner").replace("acknowledgment", "acknowledgement") for _, t in whole]
+    texts = [*texts, *(t.replace("(c) <year> <owner>", "(c) 1999, 2004 A. Person <a@b.c>. All rights reserved.") for _, t in whole), *(t + " too" for _, t in whole), *ODD]
+    df = docs(spark, texts)
+    got = {(r["doc_id"], r["unit"], r["line_no"], r["digest"], r["license_id"]) for r in licenses.scan_licenses(df, licenses.known_digests(spark)).collect()}
+    found = {(d, i) for d, unit, _, _, i in got if unit == "text"}
+    n = len(whole)
+    assert {(j, i) for j, (i, t) in enumerate(whole) if not t.startswith("Boost")} <= found and {(n + j, i) for j, (i, _) in enumerate(whole)} <= found
+    assert not [d for d, _ in found if d >= 2 * n]
+    df.write.parquet(f"{tmp_path}/documents")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    assert got == set(db.execute(licenses.ORACLE["op1_license_scans"]).fetchall())
+
+
+def test_neighbouring_spellings(spark):
+    row = spark.createDataFrame([("Licence licence, honour HONOUR favour copyright holder holder",)], "t string").select(licenses.canonical(F.col("t"))).first()
+    assert row[0] == "license license honor honor favor copyright owner holder"
 
 
 @pytest.mark.parametrize(
