@@ -3,10 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes
 each result as Parquet and hands the reread table to the next.  All but the
 last return the columns of `documents`.
+
+Defined results: an empty table gives an empty table with the same columns.
+Other columns of any name, also those that the operators use inside, stay with
+their rows through the first four stages.  Rows of null texts have no language
+and go in the first stage; given to a later one they stay.  Null ids and
+sources are values of their own; repeated rows are judged alike, but of them
+the near-duplicate stage keeps one.  Whole texts count, however long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +28,37 @@ from dimweave.llm.mixing import WEIGHTS, mix_sources
 from dimweave.llm.packing import pack
 
 
+#: The columns that stages work on.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def sets_others_aside(stage: Stage) -> Stage:
+    """`stage` with columns other than COLUMNS under names that no operator uses."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*(c if c in COLUMNS else f"aside_{i}" for i, c in enumerate(docs.columns)))
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@sets_others_aside
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that are rejected go."""
     return identify_language(docs, fit_on_documents(docs)).where("not rejected").select(*docs.columns)
 
 
+@sets_others_aside
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their duplicate lines; those of which nothing is left go."""
     cut = dedup_lines(docs).where("n_kept > 0 or n_lines = 0")
     return cut.withColumn("n_chars", F.when(F.col("n_kept") < F.col("n_lines"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@sets_others_aside
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, rows without an id last, then by the text's hash.
 
@@ -48,6 +78,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return numbered.join(scratch.small(copies), "row_", "left_anti").select(*docs.columns)
 
 
+@sets_others_aside
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in random order."""
     return mix_sources(docs, WEIGHTS).select(*docs.columns)
