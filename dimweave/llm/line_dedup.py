@@ -177,7 +177,9 @@ def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = list({x for text in text_bytes(batch.column(0)) for x in _canonical(text)} - {b""})
         classes = _line_hash(lines)[:, 0].tolist()
         new = {c: x for c, x in zip(classes, lines, strict=True) if c not in seen}
-        seen = seen | new.keys() if len(seen) < SEEN else set(new)
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.update(new)
         ids = np.array(list(new), np.int64)
         for part in _slices(list(new.values()), SLICE):
             mine, ids = ids[: len(part)], ids[len(part) :]
