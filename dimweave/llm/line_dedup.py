@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, meeting_places, mix, table, text_blocks, text_bytes
+from .common import Scratch, block_pairs, mix, table, text_blocks, text_bytes
 from .components import connected_components
+from .meetings import packed_places, packer
 from .places import Place, grouped, link_batch
 
 #: Characters (code points) of a shingle, the least similarity of duplicates in percent, bands and rows of a signature.
@@ -170,8 +171,8 @@ def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *numeric], names=["id", "row", "line_no", "cls", "sure", "n_solid"])
 
 
-def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, cls) of the lines of each text block, equal lines once, and mostly once a task."""
+def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bands and classes of the lines of each text block, equal lines once, and mostly once a task."""
     seen: set[int] = set()
     for batch in text_blocks(batches, "text"):
         lines = list({x for text in text_bytes(batch.column(0)) for x in _canonical(text)} - {b""})
@@ -183,7 +184,7 @@ def _class_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array(list(new), np.int64)
         for part in _slices(list(new.values()), SLICE):
             mine, ids = ids[: len(part)], ids[len(part) :]
-            yield pa.RecordBatch.from_arrays([pa.array(_bands(part).view(np.int64).reshape(-1)), pa.array(np.repeat(mine, BANDS))], names=["band", "cls"])
+            yield _bands(part).reshape(-1), np.repeat(mine, BANDS)
 
 
 def _slices(lines: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -234,8 +235,8 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of (id, row, text): its lines (id, row, line_no, cls, sure, n_solid), and (cls, sure, component) of classes that are linked with others."""
     lines = scratch.keep(docs.mapInArrow(_split_pass, "id long, row long, line_no int, cls long, sure long, n_solid int"))
-    bands = docs.select("text").mapInArrow(_class_pass, "band long, cls long")
-    places = meeting_places(scratch, bands, "band")
+    bands = docs.select("text").mapInArrow(packer(_class_pass, BANDS * lines.count()), "bucket long, packed binary")
+    places = packed_places(scratch, bands)
     nodes = places.select("cls").distinct()
 
     # the lines of classes that meet others, each from its first document

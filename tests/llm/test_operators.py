@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dimweave.llm import ann, fingerprints, jaccard_join, language_id, licenses, line_dedup, mixing, packing, suffixes, url_filters
+from dimweave.llm import ann, fingerprints, jaccard_join, language_id, licenses, line_dedup, meetings, mixing, packing, suffixes, url_filters
 from dimweave.llm.common import Scratch, block_pairs, meeting_places
 from dimweave.llm.components import connected_components
 from dimweave.llm.places import Place
@@ -124,9 +124,12 @@ def test_components(spark):
     assert connected_components(chain.limit(0), scratch).count() == 0
 
 
-@pytest.mark.parametrize("block", [line_dedup.BLOCK, 2])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bucket", "limit"), [(line_dedup.BLOCK, meetings.BUCKET, meetings.LIMIT), (2, 500, 100), (2, 100, 40)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, block, bucket, limit):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(meetings, "BUCKET", bucket)
+    monkeypatch.setattr(meetings, "LIMIT", limit)
+    monkeypatch.setattr(meetings, "BLOB", min(limit, meetings.BLOB) // 4)
     r = random.Random(4)
     lines = [" ".join(words(r, 12)) for _ in range(40)] + ["short", "tiny one"]
     texts = []
