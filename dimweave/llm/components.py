@@ -1,9 +1,9 @@
 """Distributed union-find: connected components of an edge table.
 
 Alternating large-star and small-star steps over plain joins and grouped
-minima.  No node's neighbours are ever gathered in one row, nothing goes to
-the driver but two numbers a round, and each round is written to the shared
-folder, so lineage stays short.
+minima, until every component is a star.  No node's neighbours are ever
+gathered in one row, nothing goes to the driver but one answer a round, and
+each round is written to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of distinct edges (u, v), v < u, has one smaller neighbour, which has none."""
+    several = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    inner = e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").select("u")
+    return several.unionByName(inner).isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node with an edge to another node.
 
@@ -35,13 +42,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     An empty table gives an empty table.
     """
     e = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        seen, old = state, e
+    while not _stars(e):
+        old = e
         e = scratch.keep(_small_star(_large_star(e)))
         scratch.drop(old)
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )
