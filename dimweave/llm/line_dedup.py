@@ -157,7 +157,7 @@ def _line_hash(lines: list[bytes]) -> np.ndarray:
 
 
 def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, row, line_no, cls, sure, n_solid) of each document's lines that aren't blank; n_solid is their number in it."""
+    """Rows (id, row, line_no, cls, sure, n_solid) of each document's lines that aren't blank; n_solid is their number in it, on the first of them only."""
     for batch in text_blocks(batches, "text"):
         parts = [_canonical(t) for t in text_bytes(batch.column(2))]
         sizes = np.array(list(map(len, parts)), np.int64)
@@ -165,9 +165,10 @@ def _split_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hashes = np.repeat(np.arange(len(parts)), sizes), _line_hash(lines)
         numbers = np.arange(len(lines)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         solid = hashes[:, 0] != 0
-        n_solid = np.bincount(at[solid], minlength=len(parts))[at]
-        take = pa.array(at[solid])
-        numeric = [pa.array(x[solid]) for x in (numbers.astype(np.int32), hashes[:, 0], hashes[:, 1], n_solid.astype(np.int32))]
+        at = at[solid]
+        n_solid = pa.array(np.bincount(at, minlength=len(parts))[at].astype(np.int32), mask=np.concatenate(([False], at[1:] == at[:-1]))[: len(at)])
+        take = pa.array(at)
+        numeric = [*(pa.array(x[solid]) for x in (numbers.astype(np.int32), hashes[:, 0], hashes[:, 1])), n_solid]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *numeric], names=["id", "row", "line_no", "cls", "sure", "n_solid"])
 
 
@@ -255,21 +256,30 @@ def line_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return lines, scratch.keep(found.join(first.select("cls", "sure"), "cls").select("cls", "sure", "component"))
 
 
-def _where_first(lines: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """`lines` with first, the place of their component's first line; null for lines that none is like.
+def _repeats(lines: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, row, line_no) of lines that aren't their component's first; a class that is like no other is a component of its own.
 
-    Classes that hold more than HOT of all lines, at most 1 / HOT, are brought
-    to the lines by a broadcast; for no other is one task's share large.
+    Most classes stand once and alone: lines of the others only are told their
+    component.  Classes and components that hold more than HOT of all lines,
+    at most 1 / HOT each, are brought to the lines by a broadcast; for no other
+    is one task's share large.
     """
-    at = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no")
-    classes = lines.groupBy("cls", "sure").agg(F.count("*").alias("n"), F.min(at).alias("first")).join(found, ["cls", "sure"], "left")
+    classes = lines.groupBy("cls", "sure").agg(F.count("*").alias("n")).join(found, ["cls", "sure"], "left")
     classes = scratch.keep(classes.where("n > 1 or component is not null"))
-    components = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    led = scratch.keep(classes.join(components, "component", "left").select("cls", "sure", "n", F.coalesce("least", "first").alias("first")))
     cut = F.lit(max(1, int(HOT * lines.count())))
-    known = lines.join(F.broadcast(led.where(F.col("n") > cut).select("cls", "sure", "first")), ["cls", "sure"], "left")
-    others = known.where("first is null").drop("first").join(led.where(F.col("n") <= cut).select("cls", "sure", "first"), ["cls", "sure"], "left")
-    return known.where("first is not null").unionByName(others)
+
+    def told(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+        hot, others = F.broadcast(table.where(F.col("n") > cut)), table.where(F.col("n") <= cut)
+        return rows.join(hot, by).unionByName(rows.join(others, by)).drop("n")
+
+    # a class's own component is named by both of its hashes, others by a class's first hash
+    alone = F.col("component").isNull()
+    parts = classes.select("cls", "sure", "n", alone.alias("alone"), F.coalesce("component", "cls").alias("part"), F.when(alone, F.col("sure")).otherwise(0).alias("part2"))
+    some = scratch.keep(told(lines.select("id", "row", "line_no", "cls", "sure"), parts, ["cls", "sure"]).drop("cls", "sure"))
+    at = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no")
+    by = ["alone", "part", "part2"]
+    first = scratch.keep(some.groupBy(by).agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1"))
+    return told(some, first, by).where(~F.col("first").eqNullSafe(at)).select("id", "row", "line_no")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,9 +288,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     scratch = Scratch(spark)
     named = docs.drop("n_lines", "n_kept").withColumns({"id_": F.col(key).cast("long"), "row_": F.xxhash64(text)})
     lines, found = line_components(named.select(F.col("id_").alias("id"), F.col("row_").alias("row"), F.col(text).alias("text")), scratch)
-    mine = F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "line_no")
-    gone = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(mine), F.col("line_no"))
-    cut = _where_first(lines, found, scratch).groupBy("id", "row").agg(F.max("n_solid").alias("n_solid_"), F.collect_set(gone).alias("gone_"))  # lines of one document at most
+    sizes = lines.where("n_solid is not null").select("id", "row", "n_solid", F.lit(None).cast("int").alias("line_no"))
+    each = sizes.unionByName(_repeats(lines, found, scratch).withColumn("n_solid", F.lit(None).cast("int")))
+    cut = each.groupBy("id", "row").agg(F.max("n_solid").alias("n_solid_"), F.collect_set("line_no").alias("gone_"))  # lines of one document at most
     cut = scratch.keep(cut.withColumnsRenamed({"id": "of_", "row": "text_"}))
     out = named.join(cut, F.col("id_").eqNullSafe(F.col("of_")) & (F.col("row_") == F.col("text_")), "left")
     less = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_")), lambda i: F.get(parts, i)), "\n")
