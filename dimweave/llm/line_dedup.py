@@ -82,14 +82,20 @@ def _code_points(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return arr, np.flatnonzero(arr == 10)
 
 
-def _shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """Each line's sorted distinct 64-bit hashes of shingles."""
+def _hashed(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles from each code point on, also over line ends, and where those stand."""
     arr, ends = _code_points(lines)
     wide, n = arr.astype(np.uint64), len(arr) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         h = h * _MIX + wide[j : j + n] + np.uint64(1)
-    h, out, start = mix(h), [], 0
+    return mix(h), ends
+
+
+def _shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Each line's sorted distinct 64-bit hashes of shingles."""
+    h, ends = _hashed(lines)
+    out, start = [], 0
     for end in ends.tolist():
         x = np.sort(h[start : end - SHINGLE + 1])
         out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
@@ -97,6 +103,23 @@ def _shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _alike(lines: list[bytes]) -> np.ndarray:
+    """Whether each two lines, the first and second, third and fourth and so on (up to 65,536 pairs), are similar."""
+    h, ends = _hashed(lines)
+    sizes = np.diff(ends, prepend=-1)
+    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
+    inside = np.arange(len(h)) <= ends[line] - SHINGLE
+    h, line = h[inside], line[inside]
+    order = np.argsort(h)
+    order = order[np.argsort((line[order] >> 1).astype(np.uint16), kind="stable")]
+    h, line = h[order], line[order]
+    pair = line >> 1
+    start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1]))))
+    of = np.bitwise_or.reduceat(1 + (line & 1), start)  # 3: a shingle of both lines
+    union, both = (np.bincount(x, minlength=len(lines) // 2) for x in (pair[start], pair[start[of == 3]]))
+    return 100 * both >= PERCENT * union
+
+
 def _shingle_set(line: bytes) -> set[str]:
     x = line.decode("utf-8", "replace")
     return {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
@@ -214,9 +237,13 @@ def _place_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[list[tuple]] = []
 
     def search() -> pa.RecordBatch:
-        sets = iter(_shingle_sets([r[5] for rows in held for r in rows]))
+        pairs, larger = [rows for rows in held if len(rows) == 2], [rows for rows in held if len(rows) > 2]
         links = []
-        for rows in held:
+        if pairs:
+            alike = _alike([r[5] for rows in pairs for r in rows])
+            links += [(a[4], b[4]) for (a, b), yes in zip(pairs, alike.tolist(), strict=True) if yes]
+        sets = iter(_shingle_sets([r[5] for rows in larger for r in rows]) if larger else ())
+        for rows in larger:
             place = Place([r[3] for r in rows], [r[4] for r in rows], [next(sets) for _ in rows], PERCENT)
             if place.hubs(HUBS, rows[0][0]):  # a place's own class shares a band with each other
                 place.rest()

@@ -495,3 +495,13 @@ def test_next_rows_of_repeated_and_null_ids(spark, monkeypatch, cuts, rows):
         want[x].append(y[1])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert fingerprints.with_next(frame.limit(0), "doc_id", ["text"], "tie").count() == 0
+
+
+def test_pairs_of_lines_are_alike_as_sets_say():
+    r = random.Random(21)
+    made = [bytes(r.choices(b"abcde ", k=r.randrange(1, 60))) for _ in range(300)] + ["žluťoučký kůň úpěl ďábelské ódy".encode(), "東京都は雨です".encode(), b"x" * 400, b"ab"]
+    pairs = [(a, a[: r.randrange(1, len(a) + 1)] + bytes(r.choices(b"abcde", k=r.randrange(0, 6)))) for a in made] + [(a, a) for a in made] + list(zip(made, reversed(made), strict=True))
+    pairs = [p for p in pairs if b"\xef\xbf\xbd" not in b"".join(p).decode("utf-8", "replace").encode()]  # cut code points aside
+    got = line_dedup._alike([x for p in pairs for x in p])
+    assert got.tolist() == [100 * line_dedup.line_similarity(*p) >= line_dedup.PERCENT for p in pairs]
+    assert 300 < got.sum() < len(pairs)
