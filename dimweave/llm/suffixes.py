@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,68 +56,70 @@ def _stretch(prefix: np.ndarray, inverse: np.ndarray, at: np.ndarray, n: int) ->
     return mix((prefix[at + n] - prefix[at]) * inverse[at])
 
 
-def minimisers(hashes: np.ndarray, run: int = RUN, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the runs that are the smallest (the rightmost of equals) of some `span` consecutive runs; the first and last start of those."""
-    if len(hashes) < run:
+def minimisers(hashes: np.ndarray, first: np.ndarray, prefix: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the runs that are the smallest (the rightmost of equals) of some SPAN consecutive runs of a text; the first and last start of those.
+
+    first: where each of the texts begins in `hashes`, and the end.
+    """
+    ends = np.repeat(first[1:], np.diff(first))
+    start = np.flatnonzero(np.arange(len(hashes)) + MIN_WORDS <= ends)
+    if not len(start):
         return (np.zeros(0, np.int64),) * 3
-    prefix, powers = _prefix(hashes)
-    h = _stretch(prefix, powers, np.arange(len(hashes) - run + 1), run)
-    if len(h) <= span:
-        windows = h[None, :]
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(h, span)
-    width = windows.shape[1]
-    at = np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1)
-    found, low, count = np.unique(at, return_index=True, return_counts=True)
-    return found, low, low + count - 1
+    h = _stretch(prefix, inverse, np.arange(len(hashes) - RUN + 1), RUN)
+    windows = np.lib.stride_tricks.sliding_window_view(h, SPAN)
+    at = start + SPAN - 1 - np.argmin(windows[:, ::-1], axis=1)[start]
+    # later windows have no earlier minimiser
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[new], start[new], start[np.append(new[1:], len(at)) - 1]
 
 
 def _retain_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (run, ctx, s0, s1, id, row, at, lo, hi): hashes of the run at each retained position, of its context and of longer stretches; its windows start at lo..hi."""
     for batch in text_blocks(batches, "text", 1 << 20):
         words = Words(text_bytes(batch.column(2)))
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
-        took, source = [], []
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            if b - a < MIN_WORDS:
-                continue
-            h = words.hashes[a:b]
-            at, lo, hi = minimisers(h)
-            prefix, inverse = _prefix(h)
-            out[0].append(_stretch(prefix, inverse, at, RUN))
-            out[1].append(mix(_stretch(prefix, inverse, lo, hi - lo + MIN_WORDS) + ((at - lo) * SPAN + hi - lo).astype(np.uint64)))
-            for j, n in enumerate(STRETCHES):
-                fits = at + n <= len(h)
-                s = np.zeros(len(at), np.uint64)
-                s[fits] = _stretch(prefix, inverse, at[fits], n)
-                out[2 + j].append(s >> np.uint64(33))
-            for j, x in enumerate((at, lo, hi)):
-                out[4 + j].append(x)
-            took.append(len(at))
-            source.append(i)
-        col = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
-        take = pa.array(np.repeat(np.array(source, np.int64), took))
-        ints = [pa.array(c.astype(np.int32)) for c in col[2:]]
+        prefix, inverse = _prefix(words.hashes)
+        at, lo, hi = minimisers(words.hashes, words.first, prefix, inverse)
+        text = np.searchsorted(words.first, at, side="right") - 1
+        begin, end = words.first[text], words.first[text + 1]
+        run = _stretch(prefix, inverse, at, RUN)
+        ctx = mix(_stretch(prefix, inverse, lo, hi - lo + MIN_WORDS) + ((at - lo) * SPAN + hi - lo).astype(np.uint64))
+        longer = []
+        for n in STRETCHES:
+            fits = at + n <= end
+            longer.append(np.zeros(len(at), np.uint64))
+            longer[-1][fits] = _stretch(prefix, inverse, at[fits], n) >> np.uint64(33)
+        take = pa.array(text)
+        ints = [pa.array(c.astype(np.int32)) for c in (*longer, at - begin, lo - begin, hi - begin)]
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c.view(np.int64)) for c in col[:2]), *ints[:2], batch.column(0).take(take), batch.column(1).take(take), *ints[2:]],
+            [*(pa.array(c.view(np.int64)) for c in (run, ctx)), *ints[:2], batch.column(0).take(take), batch.column(1).take(take), *ints[2:]],
             names=["run", "ctx", "s0", "s1", "id", "row", "at", "lo", "hi"],
         )
 
 
+def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of structs without nulls inside: where each list begins, and the end; and the fields of all. A null is an empty list."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    inner = column.flatten()
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64))), [pc.struct_field(inner, f).to_numpy(zero_copy_only=False) for f in fields]
+
+
 def _window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (win, ctx, many, id, row, at, start) of the windows of each text's listed runs, win their hash."""
     for whole in batches:
         for batch in text_blocks((whole,), "text", 1 << 20):
-            out: list[list] = [[] for _ in range(7)]
-            for me, row, runs, text in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3)), strict=True):
-                prefix, inverse = _prefix(Words([text]).hashes)
-                for r in runs:
-                    start = np.arange(r["lo"], r["hi"] + 1)
-                    win = _stretch(prefix, inverse, start, MIN_WORDS).view(np.int64)
-                    for x, v in zip(out, (win, *([c] * len(start) for c in (r["ctx"], r["many"], me, row, r["at"])), start), strict=True):
-                        x += v if isinstance(v, list) else v.tolist()
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["win", "ctx", "many", "id", "row", "at", "start"])
+            words = Words(text_bytes(batch.column(3)))
+            prefix, inverse = _prefix(words.hashes)
+            begin, (ctx, many, at, lo, hi) = _lists(batch.column(2), ("ctx", "many", "at", "lo", "hi"))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+            each = hi.astype(np.int64) - lo + 1
+            of = np.repeat(np.arange(len(each)), each)  # each window's run
+            start = lo[of] + np.arange(len(of)) - (np.cumsum(each) - each)[of]
+            win = _stretch(prefix, inverse, words.first[text[of]] + start, MIN_WORDS).view(np.int64)
+            take = pa.array(text[of])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(win), pa.array(ctx[of]), pa.array(many[of].astype(bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at[of].astype(np.int32)), pa.array(start.astype(np.int32))],
+                names=["win", "ctx", "many", "id", "row", "at", "start"],
+            )
 
 
 _ORDER = ["run", "s0", "s1", "id", "row", "at"]
@@ -162,35 +165,50 @@ def _extend_pass(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "n_words", "start_byte", "end_byte", "late", "first_id"]
         for whole in batches:
-            for batch in text_blocks((whole,), "text_a", 1 << 20):
-                out: list[list[int]] = [[] for _ in names]
+            for batch in text_blocks((whole,), ("text_a", "text_b"), 1 << 20):
                 c = {n: batch.column(batch.schema.get_field_index(n)) for n in ("row_a", "row_b", "pairs", "text_a", "text_b", "firsts_a", "firsts_b")}
-                lists = (c[n].to_pylist() for n in ("row_a", "row_b", "pairs", "firsts_a", "firsts_b"))
-                for ra, rb, pairs, fa, fb, ta, tb in zip(*lists, text_bytes(c["text_a"]), text_bytes(c["text_b"]), strict=True):
-                    a, b = Words([ta]), Words([tb])
-                    la, lb = ta.lower(), tb.lower()
+                rows_a, rows_b = c["row_a"].to_pylist(), c["row_b"].to_pylist()
+                texts = dict(zip(rows_a, text_bytes(c["text_a"]), strict=True)) | dict(zip(rows_b, text_bytes(c["text_b"]), strict=True))
+                words, place = Words(list(texts.values())), {row: i for i, row in enumerate(texts)}  # each text once
+                low, hashes, first = words.buf.lower(), words.hashes, words.first.tolist()
+                begin, found = _lists(c["pairs"], ("at_a", "at_b", "first_id_a"))
+                order = np.lexsort((found[1], found[0], np.repeat(np.arange(batch.num_rows), np.diff(begin))))
+                found = [x[order].tolist() for x in found]
+                places = [np.array([place[row] for row in rows]) for rows in (rows_a, rows_b)]
+                kept: list[tuple] = []  # text, start and end in words, first id
+                for ta, tb, i, j in zip(*(x.tolist() for x in (*places, begin[:-1], begin[1:])), strict=True):
+                    ba, bb = first[ta], first[tb]
+                    ha, hb = hashes[ba : first[ta + 1]], hashes[bb : first[tb + 1]]
                     matches: dict[tuple[int, int], list] = {}  # by diagonal and start: end, first id
                     reach: dict[int, tuple[int, int]] = {}  # by diagonal: the last match
-                    for p in sorted(pairs, key=lambda p: (p["at_a"], p["at_b"])):
-                        d = p["at_a"] - p["at_b"]
+                    for at_a, at_b, first_id in zip(*(x[i:j] for x in found), strict=True):
+                        d = at_a - at_b
                         s, e = reach.get(d, (0, -1))
-                        if e < p["at_a"] + RUN:
-                            s, e = reach[d] = _extend(a.hashes, b.hashes, p["at_a"], p["at_b"])
-                        m = matches.setdefault((d, s), [e, p["first_id_a"]])
-                        m[1] = min(m[1], p["first_id_a"])
-                    fa, fb = (np.array([(x["lo"], x["hi"]) for x in f or ()], np.int64).reshape(-1, 2) for f in (fa, fb))
-                    for (d, s), (e, first) in matches.items():
-                        if e - s < min_words or not _equal(a, b, la, lb, s, s - d, e - s):
-                            continue
-                        for me, w, start, firsts in ((ra, a, s, fa), (rb, b, s - d, fb)):
-                            late = not ((firsts[:, 0] <= start + e - s - MIN_WORDS) & (firsts[:, 1] >= start)).any()
-                            for x, v in zip(out, (me, e - s, int(w.begin[start]), int(w.end[start + e - s - 1]), int(late), first), strict=True):
-                                x.append(v)
+                        if e < at_a + RUN:
+                            s, e = reach[d] = _extend(ha, hb, at_a, at_b)
+                        m = matches.setdefault((d, s), [e, first_id])
+                        m[1] = min(m[1], first_id)
+                    for (d, s), (e, first_id) in matches.items():
+                        if e - s >= min_words and _equal(words, low, ba + s, bb + s - d, e - s):
+                            kept += (ta, s, e, first_id), (tb, s - d, e - d, first_id)
+                text, start, end, first_id = np.array(kept, np.int64).reshape(-1, 4).T
+                late = ~_holds([_lists(c[n], ("lo", "hi")) for n in ("firsts_a", "firsts_b")], places, text, start, end - MIN_WORDS)
+                bytes_of = [at - words.text_begin[text] for at in (words.begin[words.first[text] + start], words.end[words.first[text] + end - 1])]
+                out = (np.array(list(texts), np.int64)[text], end - start, *bytes_of, late.astype(np.int64), first_id)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
 
     return run
 
 
+def _holds(ranges: list[tuple], places: list[np.ndarray], text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether a range (lo, hi) of the text meets low..high; ranges: lists of them, as of _lists, of the texts `places`."""
+    of = np.concatenate([np.repeat(p, np.diff(begin)) for p, (begin, _) in zip(places, ranges, strict=True)]) << 32
+    lo, hi = (of + np.concatenate([r[i] for _, r in ranges]) for i in (0, 1))
+    order = np.argsort(lo)
+    reach = np.append(np.maximum.accumulate(hi[order]), -1)  # of the ranges up to each; ranges of earlier texts end below a text's own
+    return reach[np.searchsorted(lo[order], (text << 32) + high, side="right") - 1] >= (text << 32) + low
+
+
 def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     """The longest stretch of equal words around position i of a and j of b, as positions of a."""
     n = min(len(a) - i, len(b) - j)
@@ -201,9 +219,10 @@ def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return (i - m + int(differ[-1]) + 1 if len(differ) else i - m), end
 
 
-def _equal(a: Words, b: Words, la: bytes, lb: bytes, i: int, j: int, n: int) -> bool:
-    """Whether n words from i and from j are equal as text, not only by their hashes."""
-    return la[a.begin[i] : a.end[i + n - 1]].split() == lb[b.begin[j] : b.end[j + n - 1]].split()
+def _equal(words: Words, low: bytes, i: int, j: int, n: int) -> bool:
+    """Whether n words from i and from j are equal as text (`low`, lower-cased), not only by their hashes."""
+    a, b = (low[words.begin[x] : words.end[x + n - 1]] for x in (i, j))
+    return a == b or a.split() == b.split()
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
